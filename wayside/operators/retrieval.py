@@ -16,6 +16,7 @@ from wayside.session import settle
 
 LINK = ["school_id", "station_id", "walking_minutes", "distance_meters", "hop_distance", "line_name"]
 CONTRACT = ["distance_meters", "walking_minutes", "school_id", "station_id"]
+TARGET = ["request_id", "target_station_id", "target_line_name", "target_latitude", "target_longitude", "max_hops"]
 BOOSTS = {"direct": 3.0, "same_line": 1.0, "nearby": 0.5}  # fixed values
 
 SIGNATURE = [
@@ -219,11 +220,12 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
 def station_candidates(targets: DataFrame, enriched: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
     """Links of the target station, or of its line nearby.
 
-    ``targets``: request_id, max_hops and the ``target_*`` station columns.
+    ``targets``: the columns named in ``TARGET``.
     """
     c = F.col
     limit, cap = cfg.candidate_limit, cfg.neighbor_cap_meters
     cols = ["request_id", "target_station_id", *LINK]
+    targets = targets.select(*TARGET)
     own = targets.join(_top(enriched, ["station_id"], limit), c("target_station_id") == c("station_id"))
     spots = targets.select(c("target_latitude").alias("latitude"), c("target_longitude").alias("longitude")).distinct()
     pairs = within_join(spots, enriched.select("latitude", "longitude").distinct(), cap).drop("distance_m")
@@ -272,6 +274,7 @@ def projection_candidates(targets: DataFrame, projection: DataFrame, cfg: Rankin
     c = F.col
     limit, cap = cfg.candidate_limit, cfg.neighbor_cap_meters
     cols = ["request_id", "target_station_id", *LINK, "boost"]
+    targets = targets.select(*TARGET)
     direct = targets.join(_top(projection, ["station_id"], limit), c("target_station_id") == c("station_id"))
     # one more station's worth is kept per line: the target's own rows are not line hits
     line = targets.join(

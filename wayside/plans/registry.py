@@ -32,9 +32,20 @@ def extra_tables(**tables: str) -> None:
     EXTRA_TABLES.update(tables)
 
 
+_MODELS: dict[tuple[str, str], Model] = {}
+
+
+def model_for(spark: SparkSession, sf_dir: str) -> Model:
+    """One model per application and folder, so that queries share its stored tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = Model(spark, sf_dir)
+    return _MODELS[key]
+
+
 def runnable() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(Model(spark, sf_dir))
+        return lambda spark, sf_dir: fn(model_for(spark, sf_dir))
 
     return {name: bind(fn) for name, fn in QUERIES.items()}
 

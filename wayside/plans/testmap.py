@@ -422,4 +422,6 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({tables[name]})" for name in order)
+    if body.lstrip().upper().startswith("WITH "):
+        return f"WITH {ctes},\n{body.lstrip()[5:]}"
     return f"WITH {ctes}\n{body}"
