@@ -11,6 +11,7 @@ from wayside.functions.geo import sphere_m
 from wayside.functions.text import non_blank, same_ascii, truthy
 from wayside.operators import explain
 from wayside.operators.explain import fill, lookup
+from wayside.session import settle, spread
 
 # fixed values: plan reasons
 STOP = {
@@ -282,7 +283,7 @@ def base_components(selected: DataFrame, classes: DataFrame, user_affinity: Data
     pipeline the part is called ``walking_minutes_score``.
     """
     c = F.col
-    rows = selected.join(classes, "sig")
+    rows = spread(selected.join(classes, "sig"), "class_id")
     ua = user_affinity.select("user_id", "school_id", F.struct("user_id", "affinity_score", "event_count").alias("user_affinity"))
     rows = rows.join(ua, ["user_id", "school_id"], "left")
     neighbor = c("fallback_stage") == "neighbor_area"
@@ -522,14 +523,14 @@ def plan_candidates(sigs: DataFrame, cands: DataFrame, cfg: RankingConfig = DEFA
     ``sigs`` carry the signature columns, ``cands`` the links with their
     school, station and snapshot columns.
     """
-    flags = stage_flags(route_evidence(cands.join(sigs, "sig"), cfg))
+    flags = settle(link_components(stage_flags(route_evidence(spread(cands, "sig").join(sigs, "sig"), cfg)), cfg))
     counts = stage_counts(flags, cfg)
     zero = F.array(*[F.lit(0) for _ in cfg.ladder])
     plans = explicit_flags(sigs).join(counts, "sig", "left").withColumn("counts", F.coalesce("counts", zero))
     plans = plan_trace(select_stage(plans, cfg), cfg)
     chosen = plans.select("sig", "fallback_stage")
     in_stage = lookup({s: F.col(f"in_{s}") for s in cfg.ladder}, F.col("fallback_stage"))
-    return plans, link_components(flags.join(chosen, "sig").where(in_stage), cfg)
+    return settle(plans), flags.join(chosen, "sig").where(in_stage)
 
 
 def attach_snapshots(cands: DataFrame, popularity: DataFrame, area_affinity: DataFrame) -> DataFrame:

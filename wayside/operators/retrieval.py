@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayside.config import DEFAULT_CONFIG, RankingConfig
-from wayside.functions.geo import add_distance
+from wayside.functions.geo import add_direction, direction_columns, ellipsoid_m
 from wayside.functions.text import non_blank, truthy
 from wayside.operators import graph
 from wayside.operators.context import school_area
 from wayside.operators.links import nearest, within_join
-from wayside.session import settle
+from wayside.session import settle, spread
 
 LINK = ["school_id", "station_id", "walking_minutes", "distance_meters", "hop_distance", "line_name"]
 CONTRACT = ["distance_meters", "walking_minutes", "school_id", "station_id"]
@@ -96,8 +96,7 @@ def _flags(rows: DataFrame, cap: float) -> DataFrame:
         & (near | adjacent_area)
     )
     adjacent_line = F.array_contains("adjacent_lines", c("candidate_line_id")) & (c("hop_distance") <= c("max_hops")) & near
-    rows = add_distance(rows, "ellipsoid", "target_latitude", "target_longitude", "latitude", "longitude", "target_distance")
-    rows = rows.withColumns(
+    rows = rows.withColumn("target_distance", ellipsoid_m("_a", "_b")).withColumns(
         {
             "is_strict_station": c("explicit") & (c("station_id") == c("target_station_id")),
             "is_same_line": truthy(same_line),
@@ -129,6 +128,10 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
     c = F.col
     cap, limit = cfg.neighbor_cap_meters, cfg.candidate_limit
     minimum = max(cfg.minimum_candidates, 1)
+    # directions are worked out per place, so that a pair needs little trigonometry
+    sigs = add_direction(sigs, "target_latitude", "target_longitude", "_a")
+    out_links = enriched.columns
+    enriched = add_direction(enriched, "latitude", "longitude", "_b")
     keep = max(limit, minimum)
     bare = enriched.withColumns(
         {
@@ -138,8 +141,7 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
         }
     )
     link_cols = enriched.columns
-    sig_cols = sigs.columns
-    out_cols = [*sig_cols, *link_cols]
+    out_cols = ["sig", *link_cols]
 
     def key(tag: str, *values: Column) -> Column:
         return F.concat(F.lit(f"{tag}:"), *[x for v in values for x in (v, F.lit("|"))])
@@ -199,17 +201,20 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
     for part in parts[1:]:
         union = union.unionByName(part.select(*out_cols))
 
-    # the same link can come from several pools: equal rows get one dense rank
+    # few rows fan out here, so they are spread before the flags are worked out; the window needs the same partitioning
+    union = spread(union, "sig").join(sigs, "sig")
+    # the same link can come from several pools: equal rows get one dense rank, and links without a flag rank last
     order = W.partitionBy("sig").orderBy("bucket", *CONTRACT)
-    flagged = _flags(union, cap).where(c("bucket") < 6).withColumn("position", F.dense_rank().over(order))
-    scoped = flagged.where(c("position") <= limit).dropDuplicates(["sig", "position"])
-    scoped = settle(scoped.select("sig", *link_cols, "target_distance", "bucket", "position"))
+    ranked = _flags(union, cap).withColumn("position", F.dense_rank().over(order))
+    scoped = ranked.where((c("position") <= limit) & (c("bucket") < 6)).dropDuplicates(["sig", "position"])
+    scoped = settle(scoped.select("sig", *out_links, "target_distance", "bucket", "position"))
 
     found = scoped.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
     under = sigs.join(found, "sig", "left").where(F.coalesce("_n", F.lit(0)) < minimum)
     points = under.select(c("target_latitude").alias("latitude"), c("target_longitude").alias("longitude")).distinct()
-    close = nearest(points, enriched, limit + minimum, tuple(CONTRACT)).withColumnsRenamed({"to_latitude": "latitude", "to_longitude": "longitude"})
+    close = nearest(points, enriched.drop(*direction_columns("_b")), limit + minimum, tuple(CONTRACT)).withColumnsRenamed({"to_latitude": "latitude", "to_longitude": "longitude"})
     outside = under.join(close.drop("distance_m", "rank"), at_spot).drop(*spot)
+    outside = add_direction(outside, "latitude", "longitude", "_b")
     outside = _flags(outside, cap).where(c("bucket") == 6)
     far_order = W.partitionBy("sig").orderBy("target_distance", *CONTRACT)
     outside = outside.withColumn("position", F.row_number().over(far_order) + F.coalesce("_n", F.lit(0)).cast("int"))

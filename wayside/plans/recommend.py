@@ -37,7 +37,7 @@ class Recommendation:
 
     Lineage is cut where several branches read one result: the resolved
     requests, their signatures, the enriched links, the candidates per
-    signature and the scored links.
+    signature, the scored links and the picks.
     """
 
     def __init__(self, requests: DataFrame, tables: Tables, as_of: Column, cfg: RankingConfig = DEFAULT_CONFIG, use_recent: bool = True):
@@ -100,7 +100,7 @@ class Recommendation:
     @cached_property
     def picks(self) -> DataFrame:
         _, classes = self.classes
-        return ranking.pick_items(self.base, classes, self.visible, self.cfg)
+        return settle(ranking.pick_items(self.base, classes, self.visible, self.cfg))
 
     @cached_property
     def class_items(self) -> DataFrame:

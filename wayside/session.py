@@ -45,3 +45,14 @@ def settle(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="wayside-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows that are about to be multiplied.
+
+    Adaptive execution sizes partitions by their bytes before the growth, so a
+    small table that fans out would be left to one task.  A fixed partition
+    count is kept as it is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -119,7 +119,7 @@ class RecentSearch(StatefulProcessor):
                     best = found
         if best is None or (held and (held[1], held[2]) == best[:2]):
             return
-        watermark = timer_values.get_current_watermark_in_ms()
+        watermark = timer_values.getCurrentWatermarkInMs()
         expires = best[0] + SEARCH_WINDOW_HOURS * 3_600_000
         if expires <= watermark:
             return
