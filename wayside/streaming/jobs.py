@@ -106,7 +106,7 @@ class RecentSearch(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "station_id string, occurred_ms long, id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.newest.get() if self.newest.exists() else None
         best = (held[1], held[2], held[0]) if held else None
         for frame in rows:
@@ -119,7 +119,7 @@ class RecentSearch(StatefulProcessor):
                     best = found
         if best is None or (held and (held[1], held[2]) == best[:2]):
             return
-        watermark = timer_values.getCurrentWatermarkInMs()
+        watermark = timerValues.getCurrentWatermarkInMs()
         expires = best[0] + SEARCH_WINDOW_HOURS * 3_600_000
         if expires <= watermark:
             return
@@ -129,7 +129,7 @@ class RecentSearch(StatefulProcessor):
         self.handle.registerTimer(expires)
         yield pd.DataFrame({"user_id": [key[0]], "station_id": [best[2]], "occurred_at": [pd.Timestamp(best[0], unit="ms")], "event": ["newest"]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.newest.get() if self.newest.exists() else None
         self.newest.clear()
         if held:
