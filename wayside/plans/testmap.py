@@ -136,11 +136,9 @@ class Model:
     @cached_property
     def line_adjacencies(self) -> DataFrame:
         """Each line adjoins the next one by name, in both directions."""
-        named = self.lines.select("line_id", "line_name")
-        nxt = named.alias("a").join(named.alias("b"), F.col("b.line_name") > F.col("a.line_name"))
-        forward = nxt.groupBy(F.col("a.line_id").alias("from_line_id")).agg(
-            F.min_by("b.line_id", "b.line_name").alias("to_line_id")
-        )
+        ordered = self.lines.agg(F.array_sort(F.collect_list(F.struct("line_name", "line_id"))).alias("l"))
+        pairs = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.struct(F.element_at("l", i)["line_id"].alias("a"), F.element_at("l", i + 1)["line_id"].alias("b")))
+        forward = ordered.select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("from_line_id"), F.col("p.b").alias("to_line_id"))
         backward = forward.select(F.col("to_line_id").alias("from_line_id"), F.col("from_line_id").alias("to_line_id"))
         edges = forward.withColumn("hops", F.lit(1)).unionByName(backward.withColumn("hops", F.lit(2)))
         return edges.select(
