@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from wayside.llm import packing
+from wayside.llm import packing, secrets
 
-QUERIES = {"op9_packing": packing.op9_packing}
+QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op9_packing": packing.op9_packing,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
