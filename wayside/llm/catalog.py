@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wayside.llm import language, packing, secrets
+from wayside.llm import fingerprints, language, packing, secrets
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_fingerprint": fingerprints.op4_fingerprint,
     "op6_language": language.op6_language,
     "op9_packing": packing.op9_packing,
 }
