@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wayside.llm import fingerprints, language, packing, secrets
+from wayside.llm import fingerprints, language, packing, quality, secrets
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_fingerprint": fingerprints.op4_fingerprint,
     "op6_language": language.op6_language,
