@@ -33,6 +33,7 @@ def holds(rows, capacity):
 def test_pieces_equal_whole_encoding(spark):
     texts = [
         "It's a Test, don't  stop:\n\tNaïve Ærø ΣΑΣ é ́x 12.5% ###", None, "", "   ", "<|endoftext|> a<|startoftext|>b", " x y \x1c z\x0b\x0cw\u0085v",
+        "Été, ÉCOLE. straße%%% ÿ?! (a.) \"b\". x². 3.14. don't. we'll, 's, o'. ab'. \u212a. \u017ft. İx, ẞ! é\u0301. A\u030a; ×y. ÷",
         "日本語のテキスト 한국어 🙂🙂", "word " * 9001, "x" * 20000,
     ]
     docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)] + [(0, texts[0], None, None)], SCHEMA)

@@ -15,11 +15,12 @@ in a join on (length, block of ranks).
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from wayside.session import settle
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task keeps; others are encoded again when they recur.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: Ranks of one length that share a join key.
 BLOCK = 256
 
@@ -36,22 +37,65 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACE_SCHEMA = "length long, rank_from long, rank_to long, first_sequence long, offset long"
 
 
+#: Punctuation that the vocabulary's splitting never joins to a letter or digit before it.
+_TAIL = ".,;:!?#%&*$|"
+#: Lower-case words of these letters are one unit of the vocabulary and pass its normalisation unchanged.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_symbols() -> list[str]:
+    """The symbol of each byte in byte-level vocabularies: itself if it is printable, else the next one from 256."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
 class _WordIds(dict):
-    """Little-endian ids of a word.  The vocabulary drops white space and never joins across it, so words can be encoded one by one."""
+    """Little-endian ids of a word.
+
+    The vocabulary drops white space and never joins across it, so words can be
+    encoded one by one.  Plain words go to its model at once, others through the
+    whole tokenizer; both give the ids of the whole text's encoding.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.symbols = _byte_symbols()
+
+    def _encode(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if len(core) < len(word) and core and core[-1].isalnum():
+            return self[core] + self[word[len(core) :]]
+        low = word.lower()
+        if not _LETTERS.fullmatch(low):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        elif low != word:
+            return self[low]
+        else:
+            ids = [t.id for t in self.model.tokenize(low if low.isascii() else "".join(self.symbols[b] for b in low.encode()))]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self._encode(word)
         if len(self) < KEPT_WORDS and len(word) < 64:
             self[word] = ids
         return ids
 
 
+_known: dict[str, _WordIds] = {}
+
+
+def _word_ids(tokenizer_path: str) -> _WordIds:
+    """One cache for all tasks of a worker process."""
+    if tokenizer_path not in _known:
+        _known[tokenizer_path] = _WordIds(tokenizer_path)
+    return _known[tokenizer_path]
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``.
 
@@ -61,26 +105,28 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        known = _WordIds(path)
+        known = _word_ids(path)
         width = 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+                    rows.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            made = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            doc_id = batch.column("doc_id").take(pa.array(made[0]))
+            columns = [doc_id, pa.array(made[1].astype(np.int32)), *(pa.array(c) for c in made[2:])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
 def plan_places(
