@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wayside.llm import fingerprints, language, packing, quality, secrets
+from wayside.llm import fingerprints, language, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_fingerprint": fingerprints.op4_fingerprint,
     "op6_language": language.op6_language,

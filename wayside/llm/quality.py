@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wayside.llm.arrow import with_columns
 from wayside.llm.language import held_out
-from wayside.llm.ridge import CELLS, Isotonic, labelled_sample, leave_out, pack_moments, solve, sums
+from wayside.llm.ridge import Isotonic, labelled_sample, leave_out, pack_moments, solve, sums
 from wayside.llm.words import chunked, word_hashes
 from wayside.session import settle
 
@@ -110,7 +110,7 @@ class QualityModel:
         width = len(mean)
         # half of the features see the kernel at a wide and half at a narrow bandwidth
         spread = np.where(np.arange(features) % 2 == 0, 0.35, 1.0) / np.sqrt(width)
-        return cls(mean, scale, rng.standard_normal((width, features)) * spread, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), Isotonic(np.zeros(CELLS), np.zeros(CELLS)))
+        return cls(mean, scale, rng.standard_normal((width, features)) * spread, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1), Isotonic.empty())
 
     def features(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -8, 8)

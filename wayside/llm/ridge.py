@@ -82,6 +82,10 @@ class Isotonic:
         # half a pseudo-count keeps the ends off 0 and 1
         self.y = np.array([(b[1] + 0.25) / (b[0] + 0.5) for b in blocks] or [0.5])
 
+    @classmethod
+    def empty(cls) -> Isotonic:
+        return cls(np.zeros(CELLS), np.zeros(CELLS))
+
     @staticmethod
     def cell(score: np.ndarray) -> np.ndarray:
         return np.clip(np.nan_to_num((score + 0.5) / 2 * CELLS), 0, CELLS - 1).astype(np.int64)

@@ -56,8 +56,8 @@ def chunked(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, l
         yield first, run
 
 
-def word_hashes(texts: list[bytes], is_word: np.ndarray = BLANK_SEPARATED) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, A-Z in lower case, and the bounds of each text among them."""
+def _scan(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and stop, the bounds of each text among them, prefix sums of hashed bytes, and what shifts a sum to its start."""
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
     flags = np.zeros(len(data) + 2, dtype=np.int8)
@@ -67,7 +67,26 @@ def word_hashes(texts: list[bytes], is_word: np.ndarray = BLANK_SEPARATED) -> tu
     up, down = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts]), np.searchsorted(starts, begins)
+    return starts, stops, np.searchsorted(starts, begins), sums, down
+
+
+def word_hashes(texts: list[bytes], is_word: np.ndarray = BLANK_SEPARATED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, A-Z in lower case, and the bounds of each text among them."""
+    starts, stops, bounds, sums, down = _scan(texts, is_word)
+    return mix((sums[stops] - sums[starts]) * down[starts]), bounds
+
+
+def words_and_beginnings(texts: list[bytes], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all alphanumeric words and of their first bytes where they are longer, and the index of each one's text."""
+    starts, stops, bounds, sums, down = _scan(texts, ALPHANUMERIC)
+    of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    hashes, owners = [mix((sums[stops] - sums[starts]) * down[starts])], [of]
+    for n in lengths:
+        longer = stops - starts > n
+        at = starts[longer]
+        hashes.append(mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
+        owners.append(of[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
