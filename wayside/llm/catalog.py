@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayside.llm import fingerprints, language, packing, quality, secrets, toxicity
+from wayside.llm import fingerprints, html_text, language, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_fingerprint": fingerprints.op4_fingerprint,
     "op6_language": language.op6_language,
+    "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
 }
 
