@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from wayside.llm import fingerprints, html_text, language, packing, quality, secrets, toxicity
+from wayside.llm import fingerprints, html_text, language, packing, quality, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_fingerprint": fingerprints.op4_fingerprint,
+    "op5_near_vectors": vectors.op5_near_vectors,
     "op6_language": language.op6_language,
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLES: dict[str, str] = {"op3_secret_scan": secrets.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op3_secret_scan": secrets.oracle_sql(),
+    "op5_near_vectors": vectors.oracle_sql(),
+}
