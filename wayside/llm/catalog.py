@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayside.llm import fingerprints, html_text, language, packing, quality, secrets, toxicity, vectors
+from wayside.llm import fingerprints, html_text, language, minhash, packing, quality, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprint": fingerprints.op4_fingerprint,
     "op5_near_vectors": vectors.op5_near_vectors,
     "op6_language": language.op6_language,
+    "op7_near_documents": minhash.op7_near_documents,
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
 }

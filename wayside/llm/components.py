@@ -17,7 +17,7 @@ def _salt(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def _replace(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+def replace_ids(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """``column`` mapped through ``mapping (id, component)``; what is not in it stays.  A common value is dealt to several tasks."""
     salted = df.withColumn("_salt", _salt(*df.columns))
     right = mapping.select(F.col("id").alias("_id"), F.col("component").alias("_to"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_right"))
@@ -44,15 +44,15 @@ def components(links: DataFrame) -> DataFrame:
         if mapping is None and links.isEmpty():
             return parent
         parent = settle(parent)
-        hopped = settle(_replace(parent, "component", parent))
-        hopped = settle(_replace(hopped, "component", hopped))
-        mapping = hopped if mapping is None else settle(_replace(mapping, "component", hopped))
-        rest = _replace(_replace(links, "a", hopped), "b", hopped).where("a <> b")
+        hopped = settle(replace_ids(parent, "component", parent))
+        hopped = settle(replace_ids(hopped, "component", hopped))
+        mapping = hopped if mapping is None else settle(replace_ids(mapping, "component", hopped))
+        rest = replace_ids(replace_ids(links, "a", hopped), "b", hopped).where("a <> b")
         links = settle(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if links.isEmpty():
             break
     least = mapping.groupBy("component").agg(F.min("id").alias("least")).select(F.col("component").alias("id"), F.col("least").alias("component"))
-    return settle(_replace(mapping, "component", least))
+    return settle(replace_ids(mapping, "component", least))
 
 
 #: Members of a class that share a join key.
@@ -67,18 +67,19 @@ def classes(rows: DataFrame, key: list[str], id_column: str) -> tuple[DataFrame,
     """Classes of rows with equal, non-null ``key``.
 
     Returns ``rows`` with ``rep``, the smallest id of the row's class, and
-    ``members``, its size; and one row (key, rep, members) per class.  A class
-    may hold a large part of all rows: it is summed up in parts first and each
-    part is joined by itself.
+    ``members``, its size; and one row (key, rep, members) per class.  Both carry
+    ``class_id``, a number of the class.  A class may hold a large part of all
+    rows: it is summed up in parts first and each part is joined by itself.
     """
     salted = rows.withColumn("_salt", _salt(id_column))
     parts = salted.groupBy(*key, "_salt").agg(F.min(id_column).alias("rep"), F.count("*").alias("members"))
     whole = settle(parts.groupBy(*key).agg(F.min("rep").alias("rep"), F.sum("members").alias("members"), F.collect_list("_salt").alias("_salts")))
-    back = whole.select(*key, "rep", "members", F.explode("_salts").alias("_salt"))
+    whole = whole.withColumn("class_id", F.monotonically_increasing_id())  # of stored partitions, so it stays the same
+    back = whole.select(*key, "rep", "members", "class_id", F.explode("_salts").alias("_salt"))
     return salted.join(back, [*key, "_salt"]).drop("_salt"), whole.drop("_salts")
 
 
-def join_class_results(members: DataFrame, results: DataFrame, id_column: str) -> DataFrame:
-    """``members`` (of ``classes``) with the columns of ``results`` (one row per ``rep``, with ``members``); large classes are dealt out."""
+def join_class_results(members: DataFrame, results: DataFrame, id_column: str, key: str = "rep") -> DataFrame:
+    """``members`` (of ``classes``) with the columns of ``results`` (one row per ``key``, with ``members``); large classes are dealt out."""
     dealt = results.withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("members") / PER_SALT) - 1).cast("int"))))
-    return members.withColumn("_salt", _class_salt(id_column)).join(dealt.drop("members"), ["rep", "_salt"]).drop("_salt")
+    return members.withColumn("_salt", _class_salt(id_column)).join(dealt.drop("members"), [key, "_salt"]).drop("_salt")
