@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayside.session import settle
+from wayside.llm.storage import stored
 
 #: Parts that the rows of one key are dealt to, so that no key meets in one task.
 SALTS = 16
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     random, chains are short and a constant part of the ids goes in each round.
     Links with a null end and of an id to itself are passed over.
     """
-    links = settle(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = stored(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mapping = None
     for turn in itertools.count():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -43,16 +43,16 @@ def components(links: DataFrame) -> DataFrame:
         parent = both.groupBy("a").agg(best.alias("best")).select(F.col("a").alias("id"), F.least("best", own)["id"].alias("component"))
         if mapping is None and links.isEmpty():
             return parent
-        parent = settle(parent)
-        hopped = settle(replace_ids(parent, "component", parent))
-        hopped = settle(replace_ids(hopped, "component", hopped))
-        mapping = hopped if mapping is None else settle(replace_ids(mapping, "component", hopped))
+        parent = stored(parent)
+        hopped = stored(replace_ids(parent, "component", parent))
+        hopped = stored(replace_ids(hopped, "component", hopped))
+        mapping = hopped if mapping is None else stored(replace_ids(mapping, "component", hopped))
         rest = replace_ids(replace_ids(links, "a", hopped), "b", hopped).where("a <> b")
-        links = settle(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if links.isEmpty():
             break
     least = mapping.groupBy("component").agg(F.min("id").alias("least")).select(F.col("component").alias("id"), F.col("least").alias("component"))
-    return settle(replace_ids(mapping, "component", least))
+    return stored(replace_ids(mapping, "component", least))
 
 
 #: Members of a class that share a join key.
@@ -73,8 +73,8 @@ def classes(rows: DataFrame, key: list[str], id_column: str) -> tuple[DataFrame,
     """
     salted = rows.withColumn("_salt", _salt(id_column))
     parts = salted.groupBy(*key, "_salt").agg(F.min(id_column).alias("rep"), F.count("*").alias("members"))
-    whole = settle(parts.groupBy(*key).agg(F.min("rep").alias("rep"), F.sum("members").alias("members"), F.collect_list("_salt").alias("_salts")))
-    whole = whole.withColumn("class_id", F.monotonically_increasing_id())  # of stored partitions, so it stays the same
+    whole = parts.groupBy(*key).agg(F.min("rep").alias("rep"), F.sum("members").alias("members"), F.collect_list("_salt").alias("_salts"))
+    whole = stored(whole.withColumn("class_id", F.monotonically_increasing_id()))
     back = whole.select(*key, "rep", "members", "class_id", F.explode("_salts").alias("_salt"))
     return salted.join(back, [*key, "_salt"]).drop("_salt"), whole.drop("_salts")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from wayside.llm.arrow import with_columns
 from wayside.llm.components import classes, components, join_class_results, replace_ids
 from wayside.llm.words import mix, shingle_sets
-from wayside.session import settle
+from wayside.llm.storage import stored
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -100,7 +100,7 @@ def promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """``class_id, text`` of the classes in ``pairs``."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(reps.select("class_id", F.col("rep").alias("doc_id"), "_text"), "class_id"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(reps.select("class_id", F.col("rep").alias("doc_id"), "_text"), "class_id"))
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
     hashed = docs.withColumn("_text", F.xxhash64("text"))
@@ -150,13 +150,13 @@ def led_lists(posted: DataFrame) -> DataFrame:
 def apart_pairs(reps: DataFrame, posted: DataFrame, led: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs of one list whose members are in different components after the first turn."""
     known = component.withColumnRenamed("id", "class_id")
-    crowded = settle(led.groupBy(F.col("b").alias("class_id")).agg(F.max("size").alias("most")).where(F.col("most") > COMMON).select("class_id"))
+    crowded = stored(led.groupBy(F.col("b").alias("class_id")).agg(F.max("size").alias("most")).where(F.col("most") > COMMON).select("class_id"))
     inner = reps.join(crowded, "class_id")
     # whole sketches of documents that hold a common value, beginnings of all others
     mixed = posted.join(crowded, "class_id", "left_anti").unionByName(postings(inner, KEPT))
-    mixed = settle(mixed.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    mixed = stored(mixed.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
     lists = mixed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    open_lists = settle(lists.where("low <> high").select("value", "size"))
+    open_lists = stored(lists.where("low <> high").select("value", "size"))
     rare = mixed.join(open_lists.where(F.col("size") <= COMMON), "value").select("value", "class_id", "n_shingles", "component")
     left = rare.select("value", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("ca"))
     right = rare.select("value", F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("cb"))
@@ -165,7 +165,7 @@ def apart_pairs(reps: DataFrame, posted: DataFrame, led: DataFrame, component: D
     common = open_lists.where(F.col("size") > COMMON).select("value")
     held = mixed.join(common, "value").groupBy("class_id").agg(F.count("*").alias("held"))
     bulk = held.join(reps.select("class_id", "n_shingles", "sketch"), "class_id").where(2 * F.col("held") > F.least("n_shingles", F.lit(KEPT)))
-    bulk = settle(bulk.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).drop("held"))
+    bulk = stored(bulk.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).drop("held"))
     return met.unionByName(block_pairs(bulk)).distinct()
 
 
@@ -208,21 +208,21 @@ def near_documents(docs: DataFrame) -> DataFrame:
     component and are not kept; rows with one id are documents of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = settle(sketches(docs.withColumn("_text", F.xxhash64("text"))))
+    rows = stored(sketches(docs.withColumn("_text", F.xxhash64("text"))))
     key = ["n_shingles", "_a", "_b"]
     members, whole = classes(rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", *key), key, "doc_id")
     own = rows.select(F.col("doc_id").alias("rep"), *key, "_text", "sketch")
-    reps = settle(whole.join(own, ["rep", *key]).dropDuplicates(["class_id"]).select("class_id", "rep", "members", "n_shingles", "_text", "sketch"))
+    reps = stored(whole.join(own, ["rep", *key]).dropDuplicates(["class_id"]).select("class_id", "rep", "members", "n_shingles", "_text", "sketch"))
 
     posted = postings(reps, FIRST)
-    led = settle(led_lists(posted))
-    pairs = settle(promising(led.where("a <> b").where(_SIZES_FIT).select("a", "b").distinct(), reps))
-    links = settle(verified(pairs, settle(texts_of(docs, reps, pairs))))
-    more = settle(promising(apart_pairs(reps, posted, led, components(links)), reps))
-    links = links.unionByName(verified(more, settle(texts_of(docs, reps, more))))
+    led = stored(led_lists(posted))
+    pairs = stored(promising(led.where("a <> b").where(_SIZES_FIT).select("a", "b").distinct(), reps))
+    links = stored(verified(pairs, stored(texts_of(docs, reps, pairs))))
+    more = stored(promising(apart_pairs(reps, posted, led, components(links)), reps))
+    links = links.unionByName(verified(more, stored(texts_of(docs, reps, more))))
 
     connected = components(links).withColumnRenamed("id", "class_id")
-    placed = settle(reps.select("class_id", "rep", "members").join(connected, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    placed = stored(reps.select("class_id", "rep", "members").join(connected, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
     least = placed.groupBy(F.col("component").alias("id")).agg(F.min("rep").alias("component"))
     results = replace_ids(placed, "component", least).select("class_id", "members", F.col("component").alias("component_id"))
     linked = join_class_results(members, results, "doc_id", "class_id").select("doc_id", "n_shingles", "component_id")

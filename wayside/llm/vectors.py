@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wayside.llm.arrow import with_columns
 from wayside.llm.components import classes, components, join_class_results
 from wayside.llm.ridge import sums
-from wayside.session import settle
+from wayside.llm.storage import stored
 
 COSINE = 0.9
 DIMENSIONS = 8
@@ -100,13 +100,13 @@ def grid_blocks(units: DataFrame, id_column: str, width: int, epsilon: float, di
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = located.repartitionByRange(parts, *cells, id_column).sortWithinPartitions(*cells, id_column).drop(*cells)
     # the place within a stored partition plus what the partitions before it hold is the place in the whole sequence
-    stored = settle(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    placed = stored(ordered.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    sizes = sorted((r["part"], r["n"]) for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row per partition
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row per partition
     before = np.concatenate(([0], np.cumsum([n for _, n in sizes])))[:-1].tolist() if sizes else []
     offsets = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before, strict=True)], "_part long, _before long")
     place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    numbered = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("block", F.floor(place / block).cast("long"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("block", F.floor(place / block).cast("long"))
 
     def gather(group: pa.Table) -> pa.Table:
         group = group.sort_by("_at")
@@ -125,7 +125,7 @@ def grid_blocks(units: DataFrame, id_column: str, width: int, epsilon: float, di
         return pa.table(made, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "counts", "lengths", "data")), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
 
     schema = "block long, ids binary, counts binary, lengths binary, data binary, lo array<double>, hi array<double>"
-    return settle(numbered.select("block", "_at", id_column, "members", "_unit").groupBy("block").applyInArrow(gather, schema)), axes
+    return stored(numbered.select("block", "_at", id_column, "members", "_unit").groupBy("block").applyInArrow(gather, schema)), axes
 
 
 def interval_pairs(blocks: DataFrame, epsilon: float, fan: int = FAN) -> DataFrame:
@@ -245,13 +245,13 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     without an id links with nothing, has no component and is not kept.
     """
     epsilon = math.sqrt(max(0.0, 2 - 2 * cosine))
-    rows = settle(usable(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("embedding"))))
+    rows = stored(usable(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("embedding"))))
     ready = rows.where("_unit IS NOT NULL AND vec_id IS NOT NULL")
     width = (ready.agg(F.max(F.length("_unit"))).first()[0] or 8) // 8
     members, reps = classes(ready, ["_unit"], "vec_id")
     units = reps.select(F.col("rep").alias("vec_id"), "members", "_unit")
     blocks, axes = grid_blocks(units, "vec_id", width, max(epsilon, 1e-6), min(DIMENSIONS, width), block)
-    found = settle(compare_blocks(interval_pairs(blocks, epsilon), blocks, width, cosine, axes))
+    found = stored(compare_blocks(interval_pairs(blocks, epsilon), blocks, width, cosine, axes))
     counted = found.where("n > 0").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     connected = components(found.where("n = 0").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     results = (
