@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayside.llm import fingerprints, html_text, language, minhash, packing, quality, secrets, toxicity, vectors
+from wayside.llm import fingerprints, html_text, language, minhash, mixing, packing, quality, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_documents": minhash.op7_near_documents,
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
