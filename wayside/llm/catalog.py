@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from wayside.llm import fingerprints, html_text, language, minhash, mixing, packing, quality, secrets, toxicity, vectors
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

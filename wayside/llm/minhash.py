@@ -199,8 +199,8 @@ def block_pairs(bulk: DataFrame) -> DataFrame:
     return dealt.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
+def near_documents(docs: DataFrame, text_hash: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``; with ``text_hash`` also ``_text``.
 
     Null and blank texts have no shingles and link with nothing; a text with
     fewer words than a shingle has one, the whole.  Equal sets are one class,
@@ -210,7 +210,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = stored(sketches(docs.withColumn("_text", F.xxhash64("text"))))
     key = ["n_shingles", "_a", "_b"]
-    members, whole = classes(rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", *key), key, "doc_id")
+    members, whole = classes(rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "_text", *key), key, "doc_id")
     own = rows.select(F.col("doc_id").alias("rep"), *key, "_text", "sketch")
     reps = stored(whole.join(own, ["rep", *key]).dropDuplicates(["class_id"]).select("class_id", "rep", "members", "n_shingles", "_text", "sketch"))
 
@@ -225,11 +225,24 @@ def near_documents(docs: DataFrame) -> DataFrame:
     placed = stored(reps.select("class_id", "rep", "members").join(connected, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
     least = placed.groupBy(F.col("component").alias("id")).agg(F.min("rep").alias("component"))
     results = replace_ids(placed, "component", least).select("class_id", "members", F.col("component").alias("component_id"))
-    linked = join_class_results(members, results, "doc_id", "class_id").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    linked = join_class_results(members, results, "doc_id", "class_id").select("doc_id", "n_shingles", "component_id", "_text")
+    alone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "_text")
+    both = linked.unionByName(alone)
+    both = both if text_hash else both.drop("_text")
+    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op7_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each component of ``docs``: that with the smallest id; texts without shingles and rows without an id stay.
+
+    Of rows that repeat one stays; different texts under the smallest id of a component all stay.
+    """
+    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = near_documents(docs.select("doc_id", "text"), text_hash=True)
+    kept = found.where("kept").select("doc_id", "_text").distinct()
+    return keyed.join(kept, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"]).unionByName(keyed.where("doc_id IS NULL")).select(*docs.columns)
