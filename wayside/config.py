@@ -119,7 +119,9 @@ class RankingConfig:
 
     @property
     def candidate_limit(self) -> int:
-        return min(max(self.retrieval_limit, 1), self.retrieval_limit_max)
+        if not 1 <= self.retrieval_limit <= self.retrieval_limit_max:
+            raise ValueError(f"retrieval_limit must lie between 1 and {self.retrieval_limit_max}")
+        return self.retrieval_limit
 
 
 DEFAULT_CONFIG = RankingConfig()

@@ -514,9 +514,11 @@ def session_issues(sessions: DataFrame) -> DataFrame:
 
 
 def recent_sessions(sessions: DataFrame, n: int) -> DataFrame:
-    """The newest sound session summaries, 1 to 500 of them."""
+    """The newest ``n`` sound session summaries."""
+    if n < 1:
+        raise ValueError("n must be 1 or more")
     sound = session_issues(sessions).where(F.col("reason").isNull()).drop("reason")
-    return sound.orderBy(F.col("last_seen_at").desc(), "session_id_hash").limit(min(max(n, 1), 500))
+    return sound.orderBy(F.col("last_seen_at").desc(), "session_id_hash").limit(n)
 
 
 def context_shape_issues(ctx: DataFrame) -> DataFrame:

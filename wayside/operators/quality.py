@@ -118,8 +118,10 @@ def failed_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status") == "failed")
 
 
-def oldest_failed_jobs(jobs: DataFrame, n: int = 20) -> DataFrame:
-    return failed_jobs(jobs).orderBy("updated_at", "id").limit(n)
+def job_worklist(jobs: DataFrame) -> DataFrame:
+    """All running and failed jobs with what orders them: running first, then by lock time (or the time they were due), then by id."""
+    rows = jobs.where(F.col("status").isin("running", "failed"))
+    return rows.withColumns({"place": F.when(F.col("status") == "running", 0).otherwise(1), "since": F.coalesce("locked_at", "run_after")})
 
 
 def _minutes_ago(as_of: Column) -> Column:
@@ -141,9 +143,11 @@ def queue_pressure(jobs: DataFrame) -> DataFrame:
 
 
 def snapshot_coverage(snapshots: dict[str, DataFrame]) -> DataFrame:
-    """Rows and newest refresh of each snapshot table."""
+    """Rows and newest refresh of each snapshot table; a table without refresh times, such as the schools, has its rows only."""
     parts = [
-        df.agg(F.count(F.lit(1)).alias("row_count"), F.max("refreshed_at").alias("newest_refresh")).withColumn("snapshot", F.lit(name))
+        df.agg(F.count(F.lit(1)).alias("row_count"), (F.max("refreshed_at") if "refreshed_at" in df.columns else F.lit(None).cast("timestamp_ntz")).alias("newest_refresh")).withColumn(
+            "snapshot", F.lit(name)
+        )
         for name, df in sorted(snapshots.items())
     ]
     return _union(parts).select("snapshot", "row_count", "newest_refresh")

@@ -317,7 +317,7 @@ def _diagnostics(m):
     "SELECT prefecture_code, neighbor_code, count(*) AS requests FROM ("
     " SELECT lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') AS prefecture_code FROM customer) JOIN ("
     " SELECT DISTINCT unnest([a, b]) AS prefecture_code, unnest([b, a]) AS neighbor_code FROM (VALUES "
-    + ", ".join(f"('{a}', '{b}')" for a, others in graph.PREFECTURE_BORDERS.items() for b in others.split())
+    + ", ".join(f"('{a}', '{b}')" for a, others in graph.PREFECTURE_BORDERS.items() for b in others)
     + ") v(a, b)) USING (prefecture_code) GROUP BY 1, 2",
 )
 def _prefectures(m):

@@ -165,24 +165,29 @@ def _validate_track(m):
     "resolve_event_school",
     """SELECT l.id, CASE WHEN l.event_id IS NOT NULL AND e.id IS NULL THEN 'unknown event_id' WHEN e.school_id <> l.school_id THEN 'event belongs to another school' END AS reason,
         coalesce(l.school_id, CASE WHEN e.id IS NOT NULL THEN e.school_id END) AS school_id
-       FROM (SELECT id, CASE WHEN id % 3 <> 0 THEN NULL ELSE school_id END AS school_id, event_id FROM m_user_events) l
-       LEFT JOIN (SELECT * FROM m_events WHERE is_active) e ON e.id = l.event_id""",
+       FROM (SELECT id, CASE WHEN id % 3 <> 0 THEN NULL ELSE school_id END AS school_id, CASE WHEN id % 7 = 1 THEN 'no' || id ELSE event_id END AS event_id FROM m_user_events) l
+       LEFT JOIN m_events e ON e.id = l.event_id""",
 )
 def _resolve_school(m):
-    log = m.user_events.withColumn("school_id", F.when(_C("id") % 3 == 0, _C("school_id")))
-    ok, bad = normalize.resolve_event_school(log, m.events.where("is_active"))
+    unknown = F.when(_C("id") % 7 == 1, F.concat(F.lit("no"), _C("id").cast("string"))).otherwise(_C("event_id"))
+    log = m.user_events.withColumns({"school_id": F.when(_C("id") % 3 == 0, _C("school_id")), "event_id": unknown})
+    ok, bad = normalize.resolve_event_school(log, m.events)
     none = F.lit(None).cast("string")
     return ok.select("id", none.alias("reason"), "school_id").unionByName(bad.select("id", "reason", "school_id"))
 
 
 @query(
     "check_refs",
-    """SELECT id, CASE WHEN school_id IS NOT NULL AND school_id NOT IN (SELECT id FROM m_schools WHERE prefecture_name IS NOT NULL) THEN 'unknown school_id'
-        WHEN event_id IS NOT NULL AND event_id NOT IN (SELECT id FROM m_events WHERE is_active) THEN 'unknown event_id'
-        WHEN target_station_id IS NOT NULL AND target_station_id NOT IN (SELECT id FROM m_stations WHERE line_id IS NOT NULL) THEN 'unknown target_station_id' END AS reason FROM m_user_events""",
+    """SELECT id, CASE WHEN school_id IS NOT NULL AND school_id NOT IN (SELECT id FROM m_schools) THEN 'unknown school_id'
+        WHEN event_id IS NOT NULL AND event_id NOT IN (SELECT id FROM m_events) THEN 'unknown event_id'
+        WHEN target_station_id IS NOT NULL AND target_station_id NOT IN (SELECT id FROM m_stations) THEN 'unknown target_station_id' END AS reason
+       FROM (SELECT id, CASE WHEN id % 11 = 1 THEN 'no' || id ELSE school_id END AS school_id, CASE WHEN id % 11 = 2 THEN 'no' || id ELSE event_id END AS event_id,
+             CASE WHEN id % 11 = 3 THEN 'no' || id ELSE target_station_id END AS target_station_id FROM m_user_events)""",
 )
 def _check_refs(m):
-    ok, bad = normalize.check_refs(m.user_events, m.schools.where("prefecture_name is not null"), m.events.where("is_active"), m.stations.where("line_id is not null"))
+    none = F.concat(F.lit("no"), _C("id").cast("string"))
+    altered = {n: F.when(_C("id") % 11 == k, none).otherwise(_C(n)) for k, n in ((1, "school_id"), (2, "event_id"), (3, "target_station_id"))}
+    ok, bad = normalize.check_refs(m.user_events.withColumns(altered), m.schools, m.events, m.stations)
     return ok.select("id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("id", "reason"))
 
 

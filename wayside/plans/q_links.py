@@ -12,9 +12,9 @@ query("derive_links", "SELECT * FROM m_derived_links")(lambda m: m.derived_links
 
 query(
     "unlinked_schools",
-    "SELECT g.* FROM m_school_geo g WHERE NOT EXISTS (SELECT 1 FROM m_near_links l WHERE l.school_id = g.school_id)",
-)(lambda m: links.unlinked_schools(m.school_geo, m.links.where("distance_meters <= 400")))
-extra_tables(m_near_links="SELECT * FROM m_links WHERE distance_meters <= 400")
+    """SELECT g.* FROM (SELECT * FROM m_school_geo UNION ALL SELECT * REPLACE ('far_' || school_id AS school_id) FROM m_school_geo) g
+       WHERE NOT EXISTS (SELECT 1 FROM m_links l WHERE l.school_id = g.school_id)""",
+)(lambda m: links.unlinked_schools(m.school_geo.unionByName(m.school_geo.withColumn("school_id", F.concat(F.lit("far_"), "school_id"))), m.links))
 
 
 @query(
@@ -58,43 +58,46 @@ def _link_distances(m):
     )
 
 
-_CASE = """CASE event_type WHEN 'school_view' THEN 1.0e0 WHEN 'event_view' THEN 0.75e0 WHEN 'school_save' THEN 2.0e0
-    WHEN 'apply_click' THEN 2.5e0 WHEN 'share' THEN 1.5e0 ELSE 0.0e0 END"""
-_SCORED = "('school_view', 'school_save', 'event_view', 'apply_click', 'share')"
+# weight of a log row by kind; a search near a place weighs on the place and, less, on its area
+_KINDS = {"school_view": 1.0, "event_view": 0.75, "school_save": 2.0, "apply_click": 2.5, "share": 1.5}
+_SEARCH_PLACE, _SEARCH_AREA = 0.4, 0.2
+
+
+def _counted(prefix: str = "") -> str:
+    return ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {prefix}{k}" for k in _KINDS)
+
+
+def _zeroed(prefix: str = "") -> str:
+    return ", ".join(f"coalesce({prefix}{k}, 0) AS {k}_count" for k in _KINDS)
+
+
+_SUMMED = " + ".join(f"{k}_count" for k in _KINDS)
+_WEIGHED = " + ".join(f"{k}_count * {w}e0" for k, w in _KINDS.items())
+
+
+def _share(value: str, of: str = "") -> str:
+    """A value as a part of the largest one, 0 where that is 0."""
+    return f"coalesce({value} / nullif(greatest(max({value}) OVER ({of}), 0.0e0), 0.0e0), 0.0e0)"
+
 
 extra_tables(
-    m_popularity_raw=f"""SELECT school.id AS school_id,
-            coalesce(sum({_CASE}), 0.0e0) + coalesce(max(n_search), 0) * 0.4e0 AS raw,
-            count(e.id) + coalesce(max(n_search), 0) AS total_events,
-            count(e.id) FILTER (WHERE event_type = 'school_view') AS school_view_count,
-            count(e.id) FILTER (WHERE event_type = 'school_save') AS school_save_count,
-            count(e.id) FILTER (WHERE event_type = 'event_view') AS event_view_count,
-            count(e.id) FILTER (WHERE event_type = 'apply_click') AS apply_click_count,
-            count(e.id) FILTER (WHERE event_type = 'share') AS share_count,
-            coalesce(max(n_search), 0) AS search_execute_count
-        FROM m_schools school
-        LEFT JOIN (SELECT * FROM m_user_events WHERE event_type IN {_SCORED}) e ON e.school_id = school.id
-        LEFT JOIN (SELECT link.school_id, count(s.id) AS n_search FROM m_links link
-                   JOIN m_user_events s ON s.target_station_id = link.station_id AND s.event_type = 'search_execute'
-                   GROUP BY link.school_id) q ON q.school_id = school.id
-        GROUP BY school.id""",
-    m_popularity="""SELECT school_id, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0.0e0 END AS popularity_score,
-            total_events, school_view_count, school_save_count, event_view_count, apply_click_count, share_count, search_execute_count
-        FROM m_popularity_raw""",
-    m_area_raw=f"""SELECT a.area, coalesce(raw, 0.0e0) + coalesce(n_search, 0) * 0.2e0 AS raw,
-            coalesce(n, 0) + coalesce(n_search, 0) AS event_count, coalesce(n_search, 0) AS search_execute_count
-        FROM (SELECT DISTINCT area FROM m_schools) a
-        LEFT JOIN (SELECT area, sum({_CASE}) AS raw, count(e.id) AS n FROM m_schools s JOIN m_user_events e
-                   ON e.school_id = s.id AND event_type IN {_SCORED} GROUP BY area) b ON b.area = a.area
-        LEFT JOIN (SELECT area, count(DISTINCT e.id) AS n_search FROM m_schools s JOIN m_links l ON l.school_id = s.id
-                   JOIN m_user_events e ON e.target_station_id = l.station_id AND e.event_type = 'search_execute'
-                   GROUP BY area) c ON c.area = a.area""",
-    m_area_affinity="""SELECT area, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0.0e0 END AS affinity_score,
-            event_count, search_execute_count FROM m_area_raw""",
-    m_user_affinity=f"""SELECT user_id, school_id, CASE WHEN max(raw) OVER (PARTITION BY user_id) > 0
-            THEN raw / max(raw) OVER (PARTITION BY user_id) ELSE 0.0e0 END AS affinity_score, event_count
-        FROM (SELECT user_id, school_id, sum({_CASE}) AS raw, count(*) AS event_count FROM m_user_events
-              WHERE school_id IS NOT NULL AND event_type IN {_SCORED} GROUP BY user_id, school_id)""",
+    m_log_by_school=f"SELECT school_id, {_counted()} FROM m_user_events GROUP BY school_id",
+    m_searches_by_station="SELECT target_station_id AS station_id, count(*) AS searches FROM m_user_events WHERE event_type = 'search_execute' GROUP BY ALL",
+    m_school_counts=f"""SELECT id AS school_id, area, {_zeroed("own.")}, CAST(coalesce(near.searches, 0) AS BIGINT) AS search_execute_count
+        FROM m_schools LEFT JOIN m_log_by_school own ON own.school_id = id
+        LEFT JOIN (SELECT school_id, sum(searches) AS searches FROM m_links JOIN m_searches_by_station USING (station_id) GROUP BY school_id) near ON near.school_id = id""",
+    m_popularity=f"""SELECT school_id, {_share("score")} AS popularity_score, {_SUMMED} + search_execute_count AS total_events,
+            school_view_count, school_save_count, event_view_count, apply_click_count, share_count, search_execute_count
+        FROM (SELECT *, {_WEIGHED} + search_execute_count * {_SEARCH_PLACE}e0 AS score FROM m_school_counts)""",
+    m_area_searches="""SELECT area, CAST(sum(searches) AS BIGINT) AS searches
+        FROM (SELECT DISTINCT area, station_id FROM m_links JOIN m_schools ON id = school_id) JOIN m_searches_by_station USING (station_id) GROUP BY area""",
+    m_area_affinity=f"""SELECT area, {_share("score")} AS affinity_score, CAST(n + searches AS BIGINT) AS event_count, searches AS search_execute_count
+        FROM (SELECT area, sum({_SUMMED}) AS n, any_value(coalesce(s.searches, 0)) AS searches, sum({_WEIGHED}) + any_value(coalesce(s.searches, 0)) * {_SEARCH_AREA}e0 AS score
+              FROM m_school_counts LEFT JOIN m_area_searches s USING (area) GROUP BY area)""",
+    m_user_affinity=f"""SELECT user_id, school_id, {_share("score", "PARTITION BY user_id")} AS affinity_score, event_count
+        FROM (SELECT user_id, school_id, {_SUMMED} AS event_count, {_WEIGHED} AS score
+              FROM (SELECT user_id, school_id, {", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}_count" for k in _KINDS)}
+                    FROM m_user_events WHERE school_id IS NOT NULL GROUP BY ALL) WHERE {_SUMMED} > 0)""",
 )
 
 query("popularity_snapshot", "SELECT * REPLACE (round(popularity_score, 9) AS popularity_score) FROM m_popularity")(
@@ -120,11 +123,12 @@ def _affinity_subset(m):
 
 @query(
     "prune_snapshots",
-    """SELECT school_id, total_events FROM m_popularity WHERE school_id IN (SELECT id FROM m_schools WHERE prefecture_name IS NOT NULL)""",
+    """SELECT school_id, total_events FROM m_popularity""",
 )
 def _prune(m):
-    alive = m.schools.where("prefecture_name IS NOT NULL").select(F.col("id").alias("school_id"))
-    return snapshots.prune(m.popularity, alive, "school_id").select("school_id", "total_events")
+    # every snapshot row once more for a school that is gone
+    stored = m.popularity.unionByName(m.popularity.withColumn("school_id", F.concat(F.lit("gone_"), "school_id")))
+    return snapshots.prune(stored, m.schools.select(F.col("id").alias("school_id")), "school_id").select("school_id", "total_events")
 
 
 @query(

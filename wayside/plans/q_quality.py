@@ -50,12 +50,16 @@ def manifests(m):
     return s.select(F.concat(F.lit("manifests/"), sid).alias("manifest_path"), sid.alias("source_id"), inner.alias("manifest_json"))
 
 
+def refreshed(df, count):
+    return df.withColumn("refreshed_at", F.expr(f"timestamp_ntz'2024-01-20 00:00:00' + make_dt_interval(cast({count} % 30 as int))"))
+
+
 def refreshed_popularity(m):
-    return m.popularity.withColumn("refreshed_at", F.expr("timestamp_ntz'2024-01-20 00:00:00' + make_dt_interval(cast(total_events % 30 as int))"))
+    return refreshed(m.popularity, "total_events")
 
 
 def refreshed_areas(m):
-    return m.area_affinity.withColumn("refreshed_at", F.expr("timestamp_ntz'2024-01-20 00:00:00' + make_dt_interval(cast(event_count % 30 as int))"))
+    return refreshed(m.area_affinity, "event_count")
 
 
 def as_of():
@@ -86,26 +90,34 @@ query(
        UNION ALL SELECT 'events_active', count(*) FROM m_events WHERE is_active
        UNION ALL SELECT 'event_csv_active', count(*) FROM m_events WHERE is_active AND source_type = 'event_csv'""",
 )(lambda m: quality.relation_counts(m.schools, m.stations, m.links, m.events))
+
+
+def more_schools(m):
+    """All schools, and each once more under an id and an area that nothing refers to."""
+    bare = m.schools.withColumns({"id": F.concat(F.lit("bare_"), _C("id")), "area": F.concat(F.lit("bare "), _C("area"))})
+    return m.schools.unionByName(bare)
+
+
 query(
     "schools_without_active_events",
     """SELECT s.id, s.name, s.area, count(e.id) FILTER (WHERE e.is_active) AS active_events, count(e.id) FILTER (WHERE NOT e.is_active) AS inactive_events
-       FROM m_schools s LEFT JOIN m_few_events e ON e.school_id = s.id GROUP BY 1, 2, 3 HAVING count(e.id) FILTER (WHERE e.is_active) = 0""",
-)(lambda m: quality.schools_without_active_events(m.schools, m.events.where("priority_weight > 0.4 and event_category = 'small'")))
-extra_tables(m_few_events="SELECT * FROM m_events WHERE priority_weight > 0.4e0 AND event_category = 'small'")
+       FROM x_schools s LEFT JOIN m_events e ON e.school_id = s.id GROUP BY 1, 2, 3 HAVING count(e.id) FILTER (WHERE e.is_active) = 0""",
+)(lambda m: quality.schools_without_active_events(more_schools(m), m.events))
+extra_tables(x_schools="SELECT * FROM m_schools UNION ALL SELECT * REPLACE ('bare_' || id AS id, 'bare ' || area AS area) FROM m_schools")
 query(
     "schools_without_links",
-    "SELECT id, name, area FROM m_schools s WHERE NOT EXISTS (SELECT 1 FROM m_links l WHERE l.school_id = s.id AND l.distance_meters <= 300)",
-)(lambda m: quality.schools_without_links(m.schools, m.links.where("distance_meters <= 300")))
+    "SELECT id, name, area FROM x_schools s WHERE NOT EXISTS (SELECT 1 FROM m_links l WHERE l.school_id = s.id)",
+)(lambda m: quality.schools_without_links(more_schools(m), m.links))
 query("invalid_link_metrics", "SELECT school_id, station_id FROM m_links WHERE walking_minutes - 5 <= 0 OR distance_meters < 0 OR hop_distance - 1 < 0")(
     lambda m: quality.invalid_link_metrics(
         m.links.withColumns({"walking_minutes": _C("walking_minutes") - 5, "hop_distance": _C("hop_distance") - 1})
     ).select("school_id", "station_id")
 )
-query("missing_popularity", "SELECT id, name FROM m_schools WHERE id NOT IN (SELECT school_id FROM m_popularity WHERE search_execute_count > 20)")(
-    lambda m: quality.missing_popularity(m.schools, m.popularity.where("search_execute_count > 20"))
+query("missing_popularity", "SELECT id, name FROM x_schools WHERE id NOT IN (SELECT school_id FROM m_popularity)")(
+    lambda m: quality.missing_popularity(more_schools(m), m.popularity)
 )
-query("missing_area_snapshots", "SELECT DISTINCT area FROM m_schools WHERE area NOT IN (SELECT area FROM m_area_affinity WHERE event_count > 300)")(
-    lambda m: quality.missing_area_snapshots(m.schools, m.area_affinity.where("event_count > 300"))
+query("missing_area_snapshots", "SELECT DISTINCT area FROM x_schools WHERE area NOT IN (SELECT area FROM m_area_affinity)")(
+    lambda m: quality.missing_area_snapshots(more_schools(m), m.area_affinity)
 )
 query("stale_popularity", "SELECT school_id FROM m_pop_refreshed WHERE refreshed_at < (SELECT max(occurred_at) FROM m_user_events)")(
     lambda m: quality.stale_snapshots(refreshed_popularity(m), m.user_events).select("school_id")
@@ -147,9 +159,14 @@ query(
     .groupBy("source_id", "level", "code")
     .agg(F.count(F.lit(1)).alias("reports"), F.sum("row_count").alias("rows"), F.max("created_at").alias("newest"))
 )
-query("failed_jobs", "SELECT id, job_type, updated_at FROM m_jobs WHERE status = 'failed' ORDER BY updated_at, id LIMIT 20")(
-    lambda m: quality.oldest_failed_jobs(jobs(m)).select("id", "job_type", "updated_at")
+query("failed_jobs", "SELECT id, job_type, updated_at FROM m_jobs WHERE status = 'failed'")(
+    lambda m: quality.failed_jobs(jobs(m)).select("id", "job_type", "updated_at")
 )
+query(
+    "job_worklist",
+    """SELECT id, job_type, status, CASE status WHEN 'running' THEN 0 ELSE 1 END AS place, coalesce(locked_at, run_after) AS since
+       FROM m_jobs WHERE status IN ('running', 'failed')""",
+)(lambda m: quality.job_worklist(jobs(m)).select("id", "job_type", "status", "place", "since"))
 query("stale_running_jobs", f"SELECT id, locked_at FROM m_jobs WHERE status = 'running' AND locked_at < {_AS_OF} - INTERVAL 15 MINUTE")(
     lambda m: quality.stale_running_jobs(jobs(m), as_of()).select("id", "locked_at")
 )
@@ -163,8 +180,14 @@ query(
 query(
     "snapshot_coverage",
     """SELECT 'area_affinity' AS snapshot, count(*) AS row_count, max(refreshed_at) AS newest_refresh FROM m_area_refreshed
-       UNION ALL SELECT 'popularity', count(*), max(refreshed_at) FROM m_pop_refreshed""",
-)(lambda m: quality.snapshot_coverage({"popularity": refreshed_popularity(m), "area_affinity": refreshed_areas(m)}))
+       UNION ALL SELECT 'popularity', count(*), max(refreshed_at) FROM m_pop_refreshed
+       UNION ALL SELECT 'user_affinity', count(*), max(TIMESTAMP '2024-01-20 00:00:00' + to_days(CAST(event_count % 30 AS INTEGER))) FROM m_user_affinity
+       UNION ALL SELECT 'schools', count(*), NULL FROM m_schools""",
+)(
+    lambda m: quality.snapshot_coverage(
+        {"popularity": refreshed_popularity(m), "area_affinity": refreshed_areas(m), "user_affinity": refreshed(m.user_affinity, "event_count"), "schools": m.schools}
+    )
+)
 query(
     "latest_import_runs",
     """SELECT source_id, id, status, total_rows, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS rank FROM m_import_runs) WHERE rank <= 5""",

@@ -44,7 +44,7 @@ class Model:
     @cached_property
     def nations(self) -> DataFrame:
         region = self.source("region")
-        return self.source("nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        return self.source("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
 
     @cached_property
     def areas(self) -> DataFrame:
@@ -70,7 +70,7 @@ class Model:
 
     @cached_property
     def schools(self) -> DataFrame:
-        s = self.source("supplier").join(F.broadcast(self.nations), F.col("s_nationkey") == F.col("n_nationkey"))
+        s = self.source("supplier").join(self.nations, F.col("s_nationkey") == F.col("n_nationkey"))
         kind = F.element_at(F.array(F.lit("junior_high"), F.lit("high"), F.lit("combined")), F.col("s_suppkey").cast("int") % 3 + 1)
         return s.select(
             _text("s", "s_suppkey").alias("id"),
@@ -97,7 +97,7 @@ class Model:
     @cached_property
     def stations(self) -> DataFrame:
         lat, lon = self._place("c_custkey", 7919, 5227)
-        c = self.source("customer").join(F.broadcast(self.nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        c = self.source("customer").join(self.nations, F.col("c_nationkey") == F.col("n_nationkey"))
         return c.select(
             _text("c", "c_custkey").alias("id"),
             _text("stn", F.col("c_custkey") % 40).alias("name"),
@@ -233,7 +233,7 @@ class Model:
     @cached_property
     def requests(self) -> DataFrame:
         """One request per customer: by station, line, area, user only, or nothing."""
-        c = self.source("customer").join(F.broadcast(self.nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        c = self.source("customer").join(self.nations, F.col("c_nationkey") == F.col("n_nationkey"))
         k = F.col("c_custkey")
         none = F.lit(None).cast("string")
         placement = F.element_at(F.array(*[F.lit(p) for p in ("home", "search", "detail", "mypage")]), k.cast("int") % 4 + 1)
