@@ -69,18 +69,20 @@ def test_snapshot_refresh_matches_batch(spark, tmp_path):
 
 
 def test_recent_search_keeps_newest_and_expires(spark, tmp_path):
-    stamps = [(1, "u", "s1", "2024-01-01 10:00:00"), (2, "u", "s2", "2024-01-01 09:00:00"), (3, "v", "s3", "2024-01-06 00:00:00"), (4, "w", "s4", "2024-01-06 01:00:00")]
-    for i, batch in enumerate((stamps[:1], stamps[1:2], stamps[2:3], stamps[3:])):
+    stamps = [(1, "u", "s1", "2024-01-01 10:00:00"), (2, "u", "s2", "2024-01-01 09:00:00"), (3, "v", "s3", "2024-01-06 00:00:00"), (4, "w", "s4", "2024-01-06 01:00:00"), (5, "v", "nowhere", "2024-01-06 02:00:00")]
+    for i, batch in enumerate((stamps[:1], stamps[1:2], stamps[2:3], stamps[3:4], stamps[4:])):
         df = spark.createDataFrame([(r[0], r[1], None, "search_execute", None, r[2], None, "{}") for r in batch], LOG)
         df = df.withColumn("occurred_at", F.lit(batch[0][3]).cast("timestamp_ntz"))
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
         del i
     log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    q = recent_search_stream(log).writeStream.outputMode("update").format("memory").queryName("recent").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    stations = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s4",)], "id string")
+    q = recent_search_stream(log, stations).writeStream.outputMode("update").format("memory").queryName("recent").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     seen = {(r.user_id, r.station_id, r.event) for r in spark.sql("select * from recent").collect()}
     assert ("u", "s1", "newest") in seen and ("u", "s2", "newest") not in seen
     assert ("u", "s1", "expired") in seen and ("v", "s3", "newest") in seen
+    assert not [s for s in seen if s[1] == "nowhere"]
 
 
 def test_page_ingest_upserts(spark, tmp_path):

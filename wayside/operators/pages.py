@@ -27,7 +27,6 @@ ZERO_EVENT_MARKERS = [
     "did not find any dated event rows", "did not find any dated session rows", "did not find any schedule entries",
 ]
 FEED_KEYS = ["pageTitle", "title", "url", "eventStartDate"]
-FEED_LIMIT = 60
 PRIVATE_HOST = (
     r"^(localhost|0\.0\.0\.0|.*\.localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*"
     r"|\[?::1?\]?|\[?f[cd][0-9a-f]{2}:.*|\[?fe[89ab][0-9a-f]:.*|\[?ff[0-9a-f]{2}:.*)$"
@@ -41,8 +40,10 @@ HTML_SHAPES = {
 }
 
 SEED = [
-    "title", "starts_at", "seed_school_id", "seed_category", "seed_open_day", "seed_featured", "seed_weight", "seed_tags", "detail_url",
+    "title", "starts_at", "seed_school_id", "seed_category", "seed_open_day", "seed_featured", "seed_weight", "seed_tags", "detail_url", "details",
 ]
+#: What a feed row tells about an event besides its title, start and address.
+FEED_DETAILS = ["event_end_date", "event_type", "event_target", "event_area", "event_app", "busho"]
 
 
 # --- policy ---------------------------------------------------------------
@@ -164,11 +165,18 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], bucket: str
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     ends = df.where(c(value).isNotNull()).groupBy(*keys, bucket).agg(F.max_by(value, F.struct(*order)).alias("_end"))
     # every bucket gets the end of the nearest earlier bucket that has one
-    slots = df.select(*keys, bucket).distinct().join(ends, [*keys, bucket], "left")
+    slots = null_safe_join(df.select(*keys, bucket).distinct(), ends, [*keys, bucket])
     across = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     carried = slots.withColumn("_carry", F.last_value("_end", ignoreNulls=True).over(across)).drop("_end")
     rows = df.withColumn("_inside", F.last_value(value, ignoreNulls=True).over(inside))
-    return rows.join(carried, [*keys, bucket]).withColumn(out, F.coalesce("_inside", "_carry")).drop("_inside", "_carry")
+    return null_safe_join(rows, carried, [*keys, bucket]).withColumn(out, F.coalesce("_inside", "_carry")).drop("_inside", "_carry")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys match one another."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on, "left").drop(*[f"_right_{k}" for k in keys])
 
 
 def content_changes(log: DataFrame) -> DataFrame:
@@ -220,7 +228,7 @@ def check_shape(pages: DataFrame, shape: str) -> DataFrame:
         good = F.concat(F.lit("matched JSON feed rows="), F.size(rows).cast("string"))
         return pages.withColumns({"matched": problem.isNull(), "summary": F.concat(F.coalesce(problem, good), note)})
     labels = HTML_SHAPES[shape]
-    missing = F.array_compact(F.array(*[F.when(~F.col("html").rlike(p), F.lit(label)) for label, p in labels]))
+    missing = F.array_compact(F.array(*[F.when(~_visible("html").rlike(p), F.lit(label)) for label, p in labels]))
     names = ", ".join(label for label, _ in labels)
     text = F.when(F.size(missing) == 0, F.lit(f"matched selectors [{names}]")).otherwise(
         F.concat(F.lit("missing selectors ["), F.array_join(missing, ", "), F.lit("]"))
@@ -356,8 +364,8 @@ def extract_cards(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, failures
 
 
-def extract_json_feed(pages: DataFrame, base_url: str, limit: int = FEED_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON feeds: newest first, ``limit`` per page (a page is one feed)."""
+def extract_json_feed(pages: DataFrame, base_url: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON feeds (a page is one feed): all of them, or the newest ``limit`` per page; ``feed_drop_counts`` tells what that cuts."""
     c = F.col
     page = ["source_id", "logical_name", "target_url"]
     feed = pages.withColumn("f", F.from_json("html", f"array<{schemas.JSON_FEED_ROW}>"))
@@ -372,21 +380,27 @@ def extract_json_feed(pages: DataFrame, base_url: str, limit: int = FEED_LIMIT)
         *[non_blank(f"r.{n}").alias(a) for n, a in (("eventType", "event_type"), ("eventTarget", "event_target"), ("eventArea", "event_area"), ("eventApp", "event_app"), ("busho", "busho"))],
     )
     usable = rows.where(c("title").isNotNull() & c("_url").isNotNull()).withColumn("detail_url", absolute_url("_url", F.lit(base_url)))
-    order = W.partitionBy(*page).orderBy(c("starts_at").desc_nulls_last(), "title", "detail_url")
-    kept = usable.withColumn("rank", F.row_number().over(order)).where(c("rank") <= limit)
-    events = _seeds(kept, title=c("title"), starts_at=c("starts_at"), detail_url=c("detail_url"))
+    kept = usable
+    if limit is not None:
+        order = W.partitionBy(*page).orderBy(c("starts_at").desc_nulls_last(), "title", "detail_url")
+        kept = usable.withColumn("rank", F.row_number().over(order)).where(c("rank") <= limit)
+    details = F.to_json(F.struct(*FEED_DETAILS))
+    events = _seeds(kept, title=c("title"), starts_at=c("starts_at"), detail_url=c("detail_url"), details=details)
     none = feed.where(~broken).join(usable.select(*page).distinct(), page, "left_anti").select(*page, F.lit("did not find any usable event rows").alias("message"))
     return events, feed.where(broken).select(*page, F.lit("failed to parse JSON feed").alias("message")).unionByName(none)
 
 
-def feed_drop_counts(pages: DataFrame) -> DataFrame:
-    """Per feed page: input rows, rows without a title, rows without an address."""
+def feed_drop_counts(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per feed page: input rows, rows without a title, rows without an address, rows kept and rows cut by ``limit``."""
     rows = pages.select("logical_name", "target_url", F.explode(F.from_json("html", f"array<{schemas.JSON_FEED_ROW}>")).alias("r"))
     no_title = non_blank("r.pageTitle").isNull()
-    return rows.groupBy("logical_name", "target_url").agg(
+    counts = rows.groupBy("logical_name", "target_url").agg(
         F.count(F.lit(1)).alias("input_rows"), F.count_if(no_title).alias("dropped_missing_title"),
         F.count_if(~no_title & non_blank("r.url").isNull()).alias("dropped_missing_url"),
     )
+    usable = F.col("input_rows") - F.col("dropped_missing_title") - F.col("dropped_missing_url")
+    kept = usable if limit is None else F.least(usable, F.lit(limit).cast("long"))
+    return counts.withColumns({"kept_rows": kept, "cut_rows": usable - kept})
 
 
 Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
@@ -507,8 +521,16 @@ def event_id(source: Column, school: Column, title: Column, starts_at: Column) -
     return F.concat(F.lit("crawl_"), flat, F.lit("_"), F.left(digest, F.lit(16)))
 
 
+def rejected_seeds(seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """The seeds that ``finalize_events`` leaves out, with the reason: as failures of their page."""
+    known = targets.select("source_id", "logical_name").distinct().withColumn("_known", F.lit(True))
+    reason = F.when(F.col("_known").isNull(), F.lit("unknown target")).when(F.coalesce(trimmed("title"), F.lit("")) == "", F.lit("blank title"))
+    rows = seeds.join(known, ["source_id", "logical_name"], "left").withColumn("message", reason)
+    return rows.where(F.col("message").isNotNull()).select("source_id", "logical_name", "target_url", "message")
+
+
 def finalize_events(seeds: DataFrame, targets: DataFrame) -> DataFrame:
-    """Seeds with the defaults of their target and a stable event id."""
+    """Seeds with the defaults of their target, their details and a stable event id; ``rejected_seeds`` has the others."""
     c = F.col
     t = targets.select(
         "source_id", "logical_name", *[c(n).alias(f"_{n}") for n in ("school_id", "event_category", "is_open_day", "is_featured", "priority_weight", "placement_tags")]
@@ -521,6 +543,7 @@ def finalize_events(seeds: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("seed_category", "_event_category").alias("event_category"), F.coalesce("seed_open_day", "_is_open_day").alias("is_open_day"),
         F.coalesce("seed_featured", "_is_featured").alias("is_featured"), F.coalesce("seed_weight", "_priority_weight").alias("priority_weight"),
         "starts_at", F.coalesce("seed_tags", "_placement_tags").alias("placement_tags"), "logical_name", "target_url", "detail_url",
+        F.coalesce("details", F.lit("{}")).alias("details"),
     )
 
 

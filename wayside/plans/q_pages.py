@@ -152,13 +152,23 @@ query(
 )
 
 
+def faulty_seeds(m):
+    """Each page's seed twice more: for a target that is not there, and without a title."""
+    seeds = pages.extract_heading(captured(m))[0].where("trim(title) <> ''")
+    return seeds.unionByName(seeds.withColumn("source_id", F.lit("nowhere"))).unionByName(seeds.withColumn("title", F.lit("  "))), targets(m)
+
+
 def finalized(m):
     return pages.finalize_events(pages.extract_heading(captured(m))[0], targets(m))
 
 
-query("finalize_events", "SELECT event_id, school_id, title, is_open_day, logical_name FROM x_page_events WHERE title <> ''")(
-    lambda m: finalized(m).select("event_id", "school_id", "title", "is_open_day", "logical_name")
+query("finalize_events", "SELECT event_id, school_id, title, is_open_day, logical_name, '{}' AS details FROM x_page_events WHERE title <> ''")(
+    lambda m: finalized(m).select("event_id", "school_id", "title", "is_open_day", "logical_name", "details")
 )
+query(
+    "rejected_seeds",
+    """SELECT logical_name, CASE WHEN part = 1 THEN 'unknown target' ELSE 'blank title' END AS message FROM x_page_events, (VALUES (1), (2)) v(part) WHERE title <> ''""",
+)(lambda m: pages.rejected_seeds(*faulty_seeds(m)).select("logical_name", "message"))
 query(
     "dedupe_events",
     """WITH e AS (SELECT *, 'k' || (page_id % 90) AS k FROM x_page_events), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY logical_name, target_url, title) AS rn FROM e)
@@ -208,7 +218,7 @@ def feed_pages(m):
     entry = F.to_json(
         F.struct(
             F.when(k % 11 != 3, _C("p_name")).alias("pageTitle"), F.concat(F.lit("2024/"), _s(k % 12 + 1), F.lit("/"), _s(k % 28 + 1)).alias("eventStartDate"),
-            F.when(k % 13 != 4, F.concat(F.lit("/e/"), _s(k))).alias("url"), F.lower("p_type").alias("eventType"),
+            F.when(k % 13 != 4, F.concat(F.lit("/e/"), _s(k))).alias("url"), F.lower("p_type").alias("eventType"), F.when(k % 3 == 0, _C("p_brand")).alias("eventArea"),
         )
     )
     rows = m.source("part").select(F.floor(k / 100).cast("long").alias("g"), entry.alias("e")).groupBy("g").agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias("b"))
@@ -220,18 +230,24 @@ def feed_pages(m):
 
 extra_tables(
     x_feed_rows="""SELECT p_partkey // 100 AS g, p_name AS title, printf('2024-%02d-%02d', p_partkey % 12 + 1, p_partkey % 28 + 1) AS starts_at, 'https://f.example/e/' || p_partkey AS detail_url,
-            p_partkey % 11 = 3 AS no_title, p_partkey % 13 = 4 AS no_url FROM part"""
+            p_partkey % 11 = 3 AS no_title, p_partkey % 13 = 4 AS no_url,
+            '{"event_type":"' || lower(p_type) || '"' || CASE WHEN p_partkey % 3 = 0 THEN ',"event_area":"' || p_brand || '"' ELSE '' END || '}' AS details FROM part"""
 )
 query(
     "extract_json_feed",
+    """SELECT 'p' || g AS logical_name, title, starts_at, detail_url, details FROM x_feed_rows WHERE NOT no_title AND NOT no_url""",
+)(lambda m: pages.extract_json_feed(feed_pages(m), "https://f.example")[0].select("logical_name", "title", "starts_at", "detail_url", "details"))
+query(
+    "extract_json_feed_newest",
     """SELECT 'p' || g AS logical_name, title, starts_at, detail_url FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY starts_at DESC, title, detail_url) AS rn
         FROM x_feed_rows WHERE NOT no_title AND NOT no_url) WHERE rn <= 60""",
-)(lambda m: pages.extract_json_feed(feed_pages(m), "https://f.example")[0].select("logical_name", "title", "starts_at", "detail_url"))
+)(lambda m: pages.extract_json_feed(feed_pages(m), "https://f.example", limit=60)[0].select("logical_name", "title", "starts_at", "detail_url"))
 query(
     "feed_drop_counts",
-    """SELECT 'p' || g AS logical_name, count(*) AS input_rows, count(*) FILTER (WHERE no_title) AS dropped_missing_title, count(*) FILTER (WHERE NOT no_title AND no_url) AS dropped_missing_url
+    """SELECT 'p' || g AS logical_name, count(*) AS input_rows, count(*) FILTER (WHERE no_title) AS dropped_missing_title, count(*) FILTER (WHERE NOT no_title AND no_url) AS dropped_missing_url,
+       least(count(*) FILTER (WHERE NOT no_title AND NOT no_url), 60) AS kept_rows, greatest(count(*) FILTER (WHERE NOT no_title AND NOT no_url) - 60, 0) AS cut_rows
        FROM x_feed_rows GROUP BY g""",
-)(lambda m: pages.feed_drop_counts(feed_pages(m)).drop("target_url"))
+)(lambda m: pages.feed_drop_counts(feed_pages(m), limit=60).drop("target_url"))
 query(
     "json_feed_shape",
     "SELECT 'p' || g AS logical_name, true AS matched, 'matched JSON feed rows=' || count(*) || ' content_type=application/json' AS summary FROM x_feed_rows GROUP BY g",
@@ -258,7 +274,7 @@ query(
         UNION ALL SELECT 'info', 'events_extracted', count(*) FROM part WHERE {_CARD} GROUP BY p_partkey // 10
         UNION ALL SELECT 'warn', 'parsed_zero_rows', 0 FROM part WHERE p_partkey // 10 % 17 = 5 GROUP BY p_partkey // 10
         UNION ALL SELECT 'error', 'parse_failed', NULL FROM part WHERE p_partkey % 200 = 7 AND p_partkey // 10 % 17 <> 5
-        UNION ALL SELECT 'info', 'events_extracted', least(count(*), 60) FROM x_feed_rows WHERE NOT no_title AND NOT no_url GROUP BY g) GROUP BY 1, 2""",
+        UNION ALL SELECT 'info', 'events_extracted', count(*) FROM x_feed_rows WHERE NOT no_title AND NOT no_url GROUP BY g) GROUP BY 1, 2""",
 )(
     lambda m: pages.parse_reports(*routed(m)).groupBy("level", "code").agg(F.count(F.lit(1)).alias("pages"), F.sum("parsed_rows").alias("parsed_rows"))
 )
@@ -337,7 +353,7 @@ def as_rows(m):
     e, _ = pages.dedupe_events(finalized(m))
     return e.select(
         _C("event_id").alias("id"), "school_id", "title", "event_category", "is_open_day", "is_featured", "priority_weight",
-        F.lit(None).cast("timestamp_ntz").alias("starts_at"), "placement_tags", F.lit("{}").alias("details"),
+        F.lit(None).cast("timestamp_ntz").alias("starts_at"), "placement_tags", "details",
     )
 
 

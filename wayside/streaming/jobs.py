@@ -52,9 +52,11 @@ def start_log_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         now = F.current_timestamp()
+        batch = batch.persist()
         ok, bad = accept_log(batch, dims["schools"](), dims["events"](), dims["stations"](), F.convert_timezone(F.current_timezone(), F.lit("UTC"), now.cast("timestamp_ntz")))
         ok.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         bad.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        batch.unpersist()
 
     stream = _file_stream(spark, source, ARRIVALS, max_files)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -113,10 +115,10 @@ class RecentSearch(StatefulProcessor):
             if frame.empty:
                 continue
             at = frame["occurred_at"].astype("datetime64[ms]").astype("int64")
-            for ms, row_id, station in zip(at, frame["id"], frame["station_id"], strict=True):
-                found = (int(ms), int(row_id), station)
-                if best is None or found[:2] > best[:2]:
-                    best = found
+            last = frame.assign(at=at).sort_values(["at", "id"]).iloc[-1]
+            found = (int(last["at"]), int(last["id"]), last["station_id"])
+            if best is None or found[:2] > best[:2]:
+                best = found
         if best is None or (held and (held[1], held[2]) == best[:2]):
             return
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -139,15 +141,16 @@ class RecentSearch(StatefulProcessor):
         pass
 
 
-def recent_search_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Updates of the newest search per user, and its expiry.
+def recent_search_stream(log: DataFrame, stations: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Updates of the newest search per user at a known station, and its expiry.
 
-    A late, older search never replaces a newer one.  The state store must be
+    A search at a station that is not in ``stations`` hides no older one.  A late, older search never replaces a newer one.  The state store must be
     RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
     searches = log.where("event_type = 'search_execute' AND target_station_id IS NOT NULL").select(
         "user_id", F.col("target_station_id").alias("station_id"), F.col("occurred_at").cast("timestamp").alias("occurred_at"), "id"
     )
+    searches = searches.join(stations.select(F.col("id").alias("station_id")).distinct(), "station_id", "left_semi")
     keyed = searches.withWatermark("occurred_at", delay).groupBy("user_id")
     return keyed.transformWithStateInPandas(RecentSearch(), outputStructType=RECENT, outputMode="Update", timeMode="EventTime")
 
@@ -168,10 +171,13 @@ def start_page_ingest(
 
     def parse(batch: DataFrame, batch_id: int) -> None:
         seeds, failures = pages.extract_events(batch, parsers)
-        found, _ = pages.dedupe_events(pages.finalize_events(seeds, targets()))
+        seeds = seeds.persist()
+        known = targets()
+        found, _ = pages.dedupe_events(pages.finalize_events(seeds, known))
         stored = read_events()
         write_events(found if stored is None else upsert(stored, found, ["event_id"]), batch_id)
-        write_reports(pages.parse_reports(seeds, failures), batch_id)
+        write_reports(pages.parse_reports(seeds, failures.unionByName(pages.rejected_seeds(seeds, known))), batch_id)
+        seeds.unpersist()
 
     stream = spark.readStream.schema(schema)
     if max_files:
