@@ -64,7 +64,7 @@ def check(spark, con, name, sf: str = SF):
         only_a = [x for x in a if x not in set(b)][:3]
         only_b = [x for x in b if x not in set(a)][:3]
         return False, f"{note}\n   columns {sorted(cols)}\n   spark {only_a}\n   sql   {only_b}"
-    return len(got) > 0, note if got else note + " EMPTY"
+    return True, note if got else note + " EMPTY"
 
 
 def main(names):

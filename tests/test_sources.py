@@ -92,3 +92,25 @@ def test_sinks(spark, tmp_path):
     sinks.publish(old, str(tmp_path / "t"), 1)
     sinks.publish(new, str(tmp_path / "t"), 2)
     assert sorted(map(tuple, sinks.current(spark, str(tmp_path / "t")).collect())) == [("b", 3), ("c", 4)]
+
+
+def test_readers_see_the_newest_complete_version(spark, tmp_path):
+    from wayside.sources.sinks import current, publish
+
+    path = str(tmp_path / "t")
+    publish(spark.range(1), path, 1)
+    publish(spark.range(2), path, 2)
+    spark.range(3).write.parquet(f"{path}/version=3")  # a writer that stopped before its mark
+    assert current(spark, path).count() == 2
+    publish(spark.range(3), path, 3)
+    assert current(spark, path).count() == 3
+
+
+def test_upsert_takes_the_same_row_of_a_tie(spark):
+    from wayside.sources.sinks import upsert
+
+    old = spark.createDataFrame([(1, "a", 1)], "k int, v string, t int")
+    new = [(1, "b", 2), (1, "c", 2), (1, "d", 1), (2, "e", 1)]
+    first = sorted(map(tuple, upsert(old, spark.createDataFrame(new, old.schema), ["k"], "t").collect()))
+    again = sorted(map(tuple, upsert(old, spark.createDataFrame(new[::-1], old.schema), ["k"], "t").collect()))
+    assert first == again and first[0][1] in "bc" and first[1] == (2, "e", 1)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folder of the marks of complete versions; readers of the table pass it over.
+_MARKS = "_complete"
+
+
 def append_user_events(df: DataFrame, path: str) -> None:
     """Append to the log, one folder per day."""
     df.withColumn("event_date", F.to_date("occurred_at")).write.mode("append").partitionBy("event_date").parquet(path)
@@ -14,12 +18,14 @@ def append_user_events(df: DataFrame, path: str) -> None:
 def upsert(target: DataFrame, new: DataFrame, keys: list[str], ts: str | None = None) -> DataFrame:
     """Union in which the last write per key wins; new rows beat stored ones.
 
+    Of new rows of one key the one with the largest ``ts`` wins; where that
+    leaves a tie, the same row wins in every run, but which one is not defined.
     A partial aggregate instead of a window: a key with very many versions is
     reduced before the shuffle.
     """
-    order = [F.col("_new"), *([F.col(ts)] if ts else [])]
     both = target.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rest = [n for n in both.columns if n not in (*keys, "_new")]
+    order = [F.col("_new"), *([F.col(ts)] if ts else []), F.xxhash64(*rest).alias("_tie")]
     best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
     return best.select(*keys, *[F.col(f"r.{n}").alias(n) for n in rest]).select(*target.columns, *[n for n in rest if n not in target.columns])
 
@@ -35,12 +41,12 @@ def replace_scope_by_key(target: DataFrame, new: DataFrame, scope: DataFrame, ke
 
 
 def publish(df: DataFrame, path: str, version: int) -> None:
-    """Write a table as a new version; readers keep the old one until it is complete."""
+    """Write a table as a new version, then mark it; readers keep the old one until the mark is there."""
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    df.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/{_MARKS}/version={version}")
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a published table."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    """The newest complete version of a published table: the newest one with a mark."""
+    newest = spark.read.parquet(f"{path}/{_MARKS}").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={newest}")
