@@ -411,7 +411,11 @@ def diversity_summary(base: DataFrame, visible: DataFrame, picks: DataFrame, cfg
     reach = base.join(heads, ["school_id", "placement"]).join(cut.select("class_id", c("last.score").alias("_floor")), "class_id")
     # the small margin covers the order of the additions
     alive = reach.where(c("_floor").isNull() | (c("base_score") + boost + c("_best") >= c("_floor") - 1e-9))
-    items = _school_rows(base, cfg).unionByName(_event_rows(alive.select(*LINK_KEY, "placement", "base_score"), visible, cfg))
+    # what an event adds does not depend on the link, so of a school's links only the best one can give its events their rank
+    others = [n for n in LINK_KEY if n != "station_id"]
+    best_link = alive.groupBy(*others, "placement").agg(F.min(F.struct((-c("base_score")).alias("neg"), "station_id")).alias("l"))
+    links = best_link.select(*[c("l.station_id").alias(n) if n == "station_id" else c(n) for n in LINK_KEY], "placement", (-c("l.neg")).alias("base_score"))
+    items = _school_rows(base, cfg).unionByName(_event_rows(links, visible, cfg))
     best = items.groupBy("class_id", "content_kind", "content_id").agg(
         F.min(F.struct((-c("score")).alias("neg"), "content_kind", "content_id", "station_id", "school_id", "group_id")).alias("x")
     )
