@@ -151,8 +151,8 @@ def fit_rates(weighed: DataFrame, names: list[str], targets: list[float], steps:
     return rate, reached
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without ``drop`` and with ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
 
     ``copies`` is the rate rounded up or down at random, by a hash of id and
     text, so that its mean is the rate; equal rows get equal copies.  Null and
@@ -161,14 +161,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     """
     domains = list(targets)
     names = [f"p_{d}" for d in domains]
-    own = [c for c in docs.columns if c not in {*names, "n_tokens", "rate", "copies", "_words", *_STATISTICS}]
+    own = [c for c in docs.columns if c not in {*names, "n_tokens", "rate", "copies", "_words", "_u", *_STATISTICS}]
     docs = docs.select(*own)
     model = learn(docs, labelled, domains)
-    described = model.with_features(with_statistics(docs))
+    u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    described = model.with_features(with_statistics(docs).withColumn("_u", u).drop(*drop))
     weighed = stored(model.posteriors(described, names))
     rate, _ = fit_rates(weighed.select("n_tokens", *names), names, [targets[d] for d in domains])
-    u = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return weighed.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    return weighed.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int")).drop("_u")
 
 
 #: Domains of the labels table and the share of tokens that each shall have.
@@ -184,4 +184,4 @@ def domains_of(labels: DataFrame) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents that bring the domains' expected tokens to TARGETS."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mix(docs, domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS).drop("text")
+    return mix(docs, domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS, drop=("text",))
