@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayside.operators import crawl_health, pages
+from wayside.operators import crawl_health, pages, quality
 from wayside.plans.registry import extra_tables, query
 from wayside.plans.testmap import as_of
 
@@ -123,6 +123,10 @@ query(
     """SELECT id, checksum AS checksum_sha256, prev AS previous_checksum, NOT coalesce(prev = checksum, false) AS content_changed, CASE WHEN prev = checksum THEN 'not_modified' ELSE 'fetched' END AS content_status
        FROM (SELECT *, last_value(checksum IGNORE NULLS) OVER (PARTITION BY manifest, logical_name ORDER BY fetched_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM x_history)""",
 )(lambda m: pages.content_changes(fetch_history(m)).select("id", "checksum_sha256", "previous_checksum", "content_changed", "content_status"))
+query(
+    "latest_fetches",
+    "SELECT id, manifest, logical_name, fetched_at FROM x_history ORDER BY id DESC LIMIT 10",
+)(lambda m: quality.latest(fetch_history(m), [_C("id").desc()], 10).select("id", "manifest", "logical_name", "fetched_at"))
 query(
     "classify_fetch_errors",
     "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'blocked_policy' ELSE 'fetch_failed' END AS fetch_status FROM events WHERE event_type = 'error'",

@@ -193,6 +193,26 @@ query(
     """SELECT source_id, id, status, total_rows, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS rank FROM m_import_runs) WHERE rank <= 5""",
 )(lambda m: quality.latest_per_source(import_runs(m), "source_id", [_C("id").desc()], 5).select("source_id", "id", "status", "total_rows", "rank"))
 
+query(
+    "latest_import_reports",
+    """SELECT p.import_run_id, p.level, p.code, p.row_count FROM m_import_reports p JOIN m_import_runs r ON r.id = p.import_run_id
+       WHERE r.source_id = 'event-csv' ORDER BY p.import_run_id DESC, p.created_at DESC, p.level, p.code, p.row_count LIMIT 10""",
+)(
+    lambda m: quality.latest(
+        import_reports(m).join(import_runs(m).where("source_id = 'event-csv'").select(_C("id").alias("import_run_id")), "import_run_id", "left_semi"),
+        [_C("import_run_id").desc(), _C("created_at").desc(), _C("level"), _C("code"), _C("row_count")],
+        10,
+    ).select("import_run_id", "level", "code", "row_count")
+)
+query(
+    "latest_event_rows",
+    """SELECT id, school_id, title, event_category, is_active, source_key FROM m_events WHERE source_type = 'event_csv' ORDER BY starts_at DESC NULLS LAST, id LIMIT 20""",
+)(
+    lambda m: quality.latest(m.events.where("source_type = 'event_csv'"), [_C("starts_at").desc_nulls_last(), _C("id")], 20).select(
+        "id", "school_id", "title", "event_category", "is_active", "source_key"
+    )
+)
+
 
 def _checks(m):
     events = m.events
