@@ -10,8 +10,11 @@ document meets one leader per list, which joins groups of copies at a cost that
 is linear in their size.  Then documents of one list that are still apart meet
 one another.  Values that many components share (passages, licences) are left
 out of that second turn, and documents that hold such a value use their whole
-sketch instead of its beginning; those whose sketch consists mostly of such values
-are compared by blocks within their lists, so no list makes all its pairs.
+sketch instead of its beginning.  Documents that consist mostly of such values
+meet by a prefix of their full sets in order of rarity: a linked pair shares a
+value of both prefixes, and a document with more than a quarter of text of its
+own is in no common list.  Lists are compared by blocks on full sets, and a
+block returns a forest of its links, never all pairs.
 
 A linked pair is missed only if its sketches say so against the odds: two sets
 with likeness 0.75 share no value among the first 16 with probability below
@@ -42,10 +45,12 @@ FIRST = 16
 ESTIMATE = 0.45
 #: A value in more documents than this is common.
 COMMON = 64
-#: Documents whose sketches are compared at once within a common list.
+#: A document is bulk if this part of its first values is common; its full set is then compared.
+BULK = 0.4
+#: Bulk documents that are compared at once within a list.
 BLOCK = 256
-#: Ids that are sent to all tasks instead of shuffling the texts.
-FEW = 20_000
+#: Values that are compared at once within a block.
+COLUMNS = 16_384
 
 _FULL = np.iinfo(np.uint64).max
 
@@ -98,11 +103,9 @@ def promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def texts_of(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``class_id, text`` of the classes in ``pairs``."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(reps.select("class_id", F.col("rep").alias("doc_id"), "_text"), "class_id"))
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
+def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """``class_id, text`` of the classes in ``ids (class_id)``."""
+    wanted = ids.distinct().join(reps.select("class_id", F.col("rep").alias("doc_id"), "_text"), "class_id")
     hashed = docs.withColumn("_text", F.xxhash64("text"))
     return hashed.join(wanted, ["doc_id", "_text"]).select("class_id", "text").dropDuplicates(["class_id"])
 
@@ -147,11 +150,18 @@ def led_lists(posted: DataFrame) -> DataFrame:
     return salted.join(back, ["value", "_salt"]).select("value", "a", "n_a", F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), "size")
 
 
-def apart_pairs(reps: DataFrame, posted: DataFrame, led: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of one list whose members are in different components after the first turn."""
-    known = component.withColumnRenamed("id", "class_id")
-    crowded = stored(led.groupBy(F.col("b").alias("class_id")).agg(F.max("size").alias("most")).where(F.col("most") > COMMON).select("class_id"))
-    inner = reps.join(crowded, "class_id")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
+
+
+def crowded_classes(led: DataFrame) -> DataFrame:
+    """``class_id, common``: the documents that hold a common value, and how many of their first values are."""
+    return led.where(F.col("size") > COMMON).groupBy(F.col("b").alias("class_id")).agg(F.count("*").alias("common"))
+
+
+def apart_pairs(reps: DataFrame, posted: DataFrame, crowded: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of one list whose members are in different components after the first turn; ``known`` has ``class_id, component``."""
+    inner = reps.join(crowded.select("class_id"), "class_id")
     # whole sketches of documents that hold a common value, beginnings of all others
     mixed = posted.join(crowded, "class_id", "left_anti").unionByName(postings(inner, KEPT))
     mixed = stored(mixed.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
@@ -161,42 +171,77 @@ def apart_pairs(reps: DataFrame, posted: DataFrame, led: DataFrame, component: D
     left = rare.select("value", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("ca"))
     right = rare.select("value", F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("cb"))
     met = left.join(right, "value").where("a < b AND ca <> cb").where(_SIZES_FIT).select("a", "b").distinct()
-    # documents with less than half of the sketch outside of common lists
-    common = open_lists.where(F.col("size") > COMMON).select("value")
-    held = mixed.join(common, "value").groupBy("class_id").agg(F.count("*").alias("held"))
-    bulk = held.join(reps.select("class_id", "n_shingles", "sketch"), "class_id").where(2 * F.col("held") > F.least("n_shingles", F.lit(KEPT)))
-    bulk = stored(bulk.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).drop("held"))
-    return met.unionByName(block_pairs(bulk)).distinct()
-
-
-def block_pairs(bulk: DataFrame) -> DataFrame:
-    """Promising pairs within the lists of ``bulk``, compared block by block; only those that pass leave a task."""
-    first = postings(bulk, FIRST // 2).select("value", "class_id")
-    rows = first.join(bulk.select("class_id", "n_shingles", "component", "sketch"), "class_id")
-    lists = first.join(bulk.select("class_id", "component"), "class_id").groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    return met
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``class_id, values``: the full sets as arrays."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"values": [x.view(np.int64) for x in shingle_sets(batch.column("text").to_pylist(), SHINGLE)]}
+
+    return with_columns(texts, lambda: work, "values array<long>", drop=("text",))
+
+
+def bulk_links(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect the bulk documents as all their links do; ``known`` has ``class_id, component``.
+
+    A set's prefix is as long as it takes for sets of the likeness of a link to
+    share a value of both prefixes, whatever the order; rare values come first.
+    """
+    sets = stored(sets)
+    value = sets.select("class_id", F.size("values").alias("n"), F.explode("values").alias("value"))
+    salted = value.groupBy("value", F.pmod(F.xxhash64("class_id"), F.lit(16)).alias("_salt")).agg(F.count("*").alias("held"))
+    held = salted.groupBy("value").agg(F.sum("held").alias("held"), F.collect_list("_salt").alias("_salts"))
+    dealt = held.where("held > 1").select("value", "held", F.explode("_salts").alias("_salt"))
+    shared = value.withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(16))).join(dealt, ["value", "_salt"])
+    # values that no other set holds come first and take their places in the prefix
+    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    own = shared.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("v"))
+    places = F.greatest(F.lit(0), length - (F.col("n") - F.size("v"))).cast("int")
+    first = stored(own.select("class_id", F.explode(F.slice("v", 1, places)["value"]).alias("value")).join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    lists = first.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = rows.join(lists.where("low <> high").select("value", blocks.alias("blocks")), "value").withColumn("mine", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    placed = first.join(lists.where("low <> high").select("value", blocks.alias("blocks")), "value").withColumn("mine", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class_id", "n_shingles", "component", "sketch")
+    met = placed.withColumn("other", other).select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class_id", "component")
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, sizes, parts = (group.column(c).to_numpy() for c in ("class_id", "n_shingles", "component"))
-        mine, i = group.column("mine").to_numpy(), group.column("i")[0].as_py()
+        ids, mine, i = group.column("class_id").to_numpy(), group.column("mine").to_numpy(), group.column("i")[0].as_py()
+        root = {int(c): int(c) for c in np.unique(group.column("component").to_numpy())}
+        component = group.column("component").to_pylist()
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        values = [np.asarray(v.values) for v in group.column("values").combine_chunks()]
         same = i == group.column("j")[0].as_py()
-        sketch = _filled(group.column("sketch").to_pylist())
-        left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(mine == i), np.flatnonzero(mine != i))
-        out_a, out_b = [], []
-        for x in left:
-            fits = right[(parts[right] != parts[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= PERCENT * np.maximum(sizes[right], sizes[x]))]
-            fits = fits[fits > x] if same else fits
-            if len(fits):
-                fits = fits[union_estimate(np.repeat(sketch[x : x + 1], len(fits), axis=0), sketch[fits]) >= ESTIMATE]
-                out_a.append(np.minimum(ids[x], ids[fits]))
-                out_b.append(np.maximum(ids[x], ids[fits]))
-        empty = [np.empty(0, dtype=np.int64)]
-        return pa.table({"a": np.concatenate(out_a or empty).astype(np.int64), "b": np.concatenate(out_b or empty).astype(np.int64)})
-
-    return dealt.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long")
+        n = np.array([len(v) for v in values])
+        found, index, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        of, column = np.repeat(np.arange(len(ids)), n), np.where(times > 1, np.cumsum(times > 1) - 1, -1)[index]
+        shared = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        for at in range(0, int((times > 1).sum()), COLUMNS):  # some columns at a time, so long sets need no more memory
+            now = (column >= at) & (column < at + COLUMNS)
+            held = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+            held[of[now], column[now] - at] = 1
+            shared += held @ held.T
+        linked = 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)
+        if not same:
+            linked &= (mine == i)[:, None] & (mine != i)[None, :]
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(linked, 1) if same else linked), strict=True):
+            p, q = find(component[x]), find(component[y])
+            if p != q:
+                root[p] = q
+                out.append((int(ids[x]), int(ids[y])))
+        made = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": made[:, 0], "b": made[:, 1]})
+
+    dealt_sets = met.join(sets, "class_id")
+    return dealt_sets.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_documents(docs: DataFrame, text_hash: bool = False) -> DataFrame:
@@ -217,9 +262,13 @@ def near_documents(docs: DataFrame, text_hash: bool = False) -> DataFrame:
     posted = postings(reps, FIRST)
     led = stored(led_lists(posted))
     pairs = stored(promising(led.where("a <> b").where(_SIZES_FIT).select("a", "b").distinct(), reps))
-    links = stored(verified(pairs, stored(texts_of(docs, reps, pairs))))
-    more = stored(promising(apart_pairs(reps, posted, led, components(links)), reps))
-    links = links.unionByName(verified(more, stored(texts_of(docs, reps, more))))
+    crowded = stored(crowded_classes(led))
+    bulk = crowded.join(reps.select("class_id", "n_shingles"), "class_id").where(F.col("common") >= BULK * F.least("n_shingles", F.lit(FIRST))).select("class_id")
+    texts = stored(texts_of(docs, reps, ends(pairs).unionByName(bulk)))
+    links = stored(verified(pairs, texts))
+    known = components(links).withColumnRenamed("id", "class_id")
+    more = stored(promising(apart_pairs(reps, posted, crowded, known), reps))
+    links = links.unionByName(verified(more, texts_of(docs, reps, ends(more)))).unionByName(bulk_links(full_sets(texts.join(bulk, "class_id", "left_semi")), known))
 
     connected = components(links).withColumnRenamed("id", "class_id")
     placed = stored(reps.select("class_id", "rep", "members").join(connected, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
