@@ -41,6 +41,32 @@ def test_odd_pages():
         assert time.time() - started < 5
 
 
+def test_silent_elements_end():
+    for page, want in (
+        ('<article><svg viewBox="0 0 1 1"/><p>a</p></article>', "a"),
+        ("<article><svg viewBox='0'/><p>a</p><svg hidden/><p>b</p><svg><text>no</text></svg><p>c</p></article>", "a b c"),
+        ("<article><script src='x'/><p>a</p></article>", "a"),
+        ("<article><script src=x/>var no</script><p>a</p></article>", "a"),
+        ("<html><head><title>No</title><meta charset=x><style>p{}</style><body><article><p>a</p></article></body></html>", "a"),
+        ("<html><head><title>No</title><script>no</script><article><p>a</p></article>", "a"),
+        ("<article><button-group><p>a</p></button-group><title-bar><p>b</p></title-bar><p>c</p></article>", "a b c"),
+        ("<article><object><object>no</object>no</object><p>a</p></article>", "a"),
+        ("<article><svg><title>no</svg><p>a</p><svg><title>no</title></svg></article>", "a"),
+        ("<article><p>a</p><script>no", "a"),
+        ("<article><p>a</p><textarea><p>no", "a"),
+        ("<article><!-- <svg> --><p>a</p><script>'<svg>'</script><p>b</p><svg>no</svg></article>", "a b"),
+    ):
+        assert ht.main_text(page, TREE) == want, page
+    for tag in ("button", "select", "noscript", "object", "svg", "iframe", "template", "video"):
+        assert ht.main_text(f"<article><p>a</p><{tag} id=x><p>b</p></article>", TREE) == "a b", tag
+        assert ht.main_text(f"<article><p>a</p><{tag}><p>b</p><{tag}>no</{tag}><p>c</p></article>", TREE) == "a b c", tag
+        assert ht.main_text(f"<article><p>a</p><{tag}><p>no</p></{tag} ><p>c</p></article>", TREE) == "a c", tag
+    for hostile in ("<svg>" * 30000, "<svg></svg" * 30000, "<button>" * 30000 + "</svg>" * 30000, "<title>" * 30000, "</script>" * 30000):
+        started = time.time()
+        ht.main_text(hostile, TREE)
+        assert time.time() - started < 5
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE, "clash", 1), (1, "u", PAGE, "clash", 1), (None, None, None, None, None), (2, "v", "<article><p>" + "word " * 100000, "c", 2)]
     got = ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

@@ -96,8 +96,9 @@ LABELLED = [
     (10, 0.50, 5, 1.00, 6, 1.00, UNKNOWN, 0),
 ]
 
-#: Elements that hold no text of the page.
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|select|textarea|button|head|title|canvas|audio|video"
+#: Elements that hold no text of the page: up to their end tag or the end of the page, and those that count only with an end tag.  What a head may hold is silent by itself.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for t in ("script", "style", "textarea", "title")}
+_SILENT = {"noscript", "template", "svg", "math", "iframe", "object", "select", "button", "canvas", "audio", "video"}
 _CONTENT_TAGS = {"article", "main"}
 _FURNITURE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _BLOCK_TAGS = {
@@ -116,10 +117,10 @@ _FURNITURE_WORDS = frozenset(
 _CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post postbody story storybody".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=silent)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*>|<(?P<loose>/?[a-zA-Z][^<>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*>|<(?P<loose>/?[a-zA-Z][^<>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
+_UNQUOTED = re.compile(r"[\s\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -145,6 +146,48 @@ class Block:
     linked: list[str] = field(default_factory=list)
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, is end tag, attributes) of the page's tags in order; comments have no tag, silent elements are one token without tag."""
+    found: list[tuple[int, int, str, bool, str]] = []
+    open_at: dict[str, list[int]] = {}
+    silent: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag, rest = m["tag"], m["rest"] or ""
+        ending = m["end"] == "/" or (m["loose"] or "").startswith("/")
+        named = not rest or rest[0] in "/ \t\r\n\f"
+        if m["loose"]:
+            tag = re.split(r"[\s/>]", m["loose"].lstrip("/"), maxsplit=1)[0]
+        tag = (tag or "").lower()
+        drawn = tag == "title" and (open_at.get("svg") or open_at.get("math"))
+        if named and tag in _RAW and not ending and not drawn:
+            if not _closes_itself(rest):
+                end = _RAW[tag].search(page, at)
+                at = end.end() if end else len(page)
+            tag = ""
+        elif named and tag in _SILENT:
+            if not ending:
+                if _closes_itself(rest):
+                    tag = ""
+                else:
+                    open_at.setdefault(tag, []).append(len(found))
+            elif open_at.get(tag):
+                silent[open_at[tag].pop()] = len(found)
+        found.append((m.start(), at, tag, ending, rest))
+    out, i = [], 0
+    while i < len(found):
+        last = silent.get(i, i)
+        out.append(found[i] if last == i else (found[i][0], found[last][1], "", False, ""))
+        i = last + 1
+    return out
+
+
+def _closes_itself(rest: str) -> bool:
+    """Whether attributes end in a slash that is not part of an unquoted value."""
+    return rest.endswith("/") and "=" not in _UNQUOTED.split(rest)[-1]
+
+
 def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, linked words, place) of the page's text blocks in order."""
     done: list[tuple[str, int, int, float]] = []
@@ -166,14 +209,11 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                 current.linked.append(text)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or (m["loose"] and re.split(r"[\s/>]", m["loose"].lstrip("/"), maxsplit=1)[0])
+    for start, end, tag, ending, rest in _tokens(page):
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        ending = m["end"] == "/" or (m["loose"] or "").startswith("/")
         if tag == "a":
             in_link = not ending
             continue
@@ -181,7 +221,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             close()
         if tag in _NESTED:
             if not ending:
-                stack.append((tag, _hint(tag, m["rest"] or "", stack[-1][1] if stack else UNKNOWN)))
+                stack.append((tag, _hint(tag, rest, stack[-1][1] if stack else UNKNOWN)))
             elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
