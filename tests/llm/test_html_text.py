@@ -67,6 +67,43 @@ def test_silent_elements_end():
         assert time.time() - started < 5
 
 
+def test_wrappers_named_after_furniture():
+    for name in ("has-sidebar", "no-sidebar", "header-fixed", "content-with-nav", "search-results", "sidebar", "layoutSidebar", "search"):
+        for tag in ("article", "main"):
+            for attribute in ("class", "id", "role"):
+                page = f"<div {attribute}='{name} x'><div><{tag}><p>a</p><div class=ad>no</div><p>b</p></{tag}></div></div><div>no</div>"
+                assert ht.main_text(page, TREE) == "a b", page
+    text = "This paragraph has more than enough words to count as running text of a page."
+    for name in ("has-sidebar", "no-sidebar", "header-fixed", "content-with-nav", "search-results"):
+        assert ht.main_text(f"<div class='{name}'><p>{text}</p></div>", TREE) == text
+    for tag in ("header", "form", "fieldset"):
+        assert ht.main_text(f"<{tag}><article><p>a</p></article></{tag}>", TREE) == "a"
+    for outer in ("nav", "aside", "footer", "div class=comments", "section id='comment-list'", "div class=related-posts"):
+        page = f"<article><p>a</p></article><{outer}><article><p>no</p></article></{outer.split()[0]}>"
+        assert ht.main_text(page, TREE) == "a", page
+    for name in ("ad", "side-ad", "shareButtons", "ad-slot", "comment-content", "post-comments"):
+        assert ht.main_text(f"<article><p>a</p><div class='x {name}'>no</div><p>b</p></article>", TREE) == "a b", name
+    assert ht.main_text(f"<div class=footer-content><p>No</p></div><p>{text}</p>", TREE) == text
+
+
+def test_implied_end_tags():
+    for inner, want in (
+        ("<p class=ad>no<p>a<p>b", "a b"),
+        ("<p class=ad>no <span>no<div>a</div><p>b", "a b"),
+        ("<p class=ad>no<br>no<pre>a</pre>", "a"),
+        ("<ul><li class=share>no<li>a a a<li>b</ul><p>c</p>", "a a a b c"),
+        ("<ul><li class=share>no<ul><li>no<li>no</ul>no<li>a a a</ul>", "a a a"),
+        ("<table><tr><td class=ad>no<td>a<tr><td class=ad><p>no<tr><td>b</table>", "a b"),
+        ("<table><tr><td class=ad>no<table><tr><td>no<td>no</table>no<td>a</table>", "a"),
+        ("<dl><dt><p class=ad>no<dd>a a<dt><p class=ad>no<dt>b</dl>", "a a b"),
+    ):
+        assert ht.main_text(f"<article>{inner}</article>", TREE) == want, inner
+    for hostile in ("<div>" * 20000 + "<li>" * 20000, "<li><ul>" + "<div>" * 20000 + "<li></li>" * 20000, "<p><span>" * 30000, "<td>" * 30000):
+        started = time.time()
+        ht.main_text(hostile, TREE)
+        assert time.time() - started < 5
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE, "clash", 1), (1, "u", PAGE, "clash", 1), (None, None, None, None, None), (2, "v", "<article><p>" + "word " * 100000, "c", 2)]
     got = ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

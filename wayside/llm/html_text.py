@@ -115,6 +115,18 @@ _FURNITURE_WORDS = frozenset(
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 _CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post postbody story storybody".split())
+#: Last parts of a name that say what holds the furniture named before, and parts that say a page has or lacks furniture.
+_HOLDERS = _CONTENT_WORDS | set("area bar block body box button buttons container icons inner item items links list posts section slot unit wrap wrapper".split())
+_MODIFIERS = frozenset("has hide hides no not with without".split())
+#: Elements and words around other articles than the page's: an article in them is no main text.
+_APART_TAGS = {"nav", "aside", "footer"}
+_APART_WORDS = frozenset("comment comments discussion disqus related replies reply respond sponsored teaser".split())
+#: Block elements that leave an open paragraph open.
+_IN_PARAGRAPH = {"br", "body", "html"}
+#: By closable element, the elements that may be open in it when it is closed without end tag; a paragraph holds no blocks.
+_PASSED = {"p": {"span"}, "li": {"div", "p", "span"}, "td": _NESTED - {"table"}}
+#: By element, the open element that it closes.
+_CLOSES = {"li": "li", **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), "td")}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^<>]*>|<(?P<loose>/?[a-zA-Z][^<>]*)>",
@@ -125,18 +137,51 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _hint(tag: str, rest: str, around: float) -> float:
-    """The place of what stands in an element, given the place of the element."""
+def _words(rest: str) -> tuple[set[str], set[str]]:
+    """(furniture words, content words) of class, id and role.
+
+    A furniture word is a whole name, its last part, or the part before a last
+    part that only holds it; names that say a page has or lacks it do not count.
+    """
+    furniture: set[str] = set()
+    content: set[str] = set()
+    if "=" not in rest:
+        return furniture, content
+    for m in _NAMES.finditer(rest):
+        for name in next(g for g in m.groups() if g is not None).split():
+            parts = [w.lower() for w in _SPLIT.split(name) if w]
+            if not parts:
+                continue
+            named = parts[-2] if len(parts) > 1 and parts[-1] in _HOLDERS else parts[-1]
+            if named in _FURNITURE_WORDS and _MODIFIERS.isdisjoint(parts):
+                furniture.add(named)
+            elif not _MODIFIERS.isdisjoint(parts) or _FURNITURE_WORDS.isdisjoint(parts):
+                content.update(_CONTENT_WORDS.intersection(parts))
+    return furniture, content
+
+
+def _hint(tag: str, rest: str, around: float, apart: bool) -> tuple[float, bool]:
+    """The place of what stands in an element and whether an article in it is none of the page's, given both of the element."""
     if tag in _FURNITURE_TAGS or (tag == "header" and around != INSIDE):
-        return FURNITURE
-    words = {w.lower() for m in _NAMES.finditer(rest) for w in _SPLIT.split(next(g for g in m.groups() if g is not None))} if "=" in rest else set()
+        return FURNITURE, apart or tag in _APART_TAGS
+    furniture, content = _words(rest)
     if tag in _CONTENT_TAGS:
-        return FURNITURE if words & {"comment", "comments", "teaser", "related", "sponsored", "ad"} or around == FURNITURE else INSIDE
-    if words & _FURNITURE_WORDS:
-        return FURNITURE
-    if words & _CONTENT_WORDS and around != FURNITURE:
-        return INSIDE
-    return around
+        return (FURNITURE, True) if apart or furniture & (_APART_WORDS | {"ad"}) else (INSIDE, False)
+    if furniture:
+        return FURNITURE, apart or not furniture.isdisjoint(_APART_WORDS)
+    if content and around != FURNITURE:
+        return INSIDE, apart
+    return around, apart
+
+
+@dataclass
+class Open:
+    """An open element; ``closable`` has the depths of the open p, li and td that a tag in it may close."""
+
+    tag: str
+    place: float
+    apart: bool
+    closable: dict[str, int]
 
 
 @dataclass
@@ -191,7 +236,7 @@ def _closes_itself(rest: str) -> bool:
 def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, linked words, place) of the page's text blocks in order."""
     done: list[tuple[str, int, int, float]] = []
-    stack: list[tuple[str, float]] = []
+    stack: list[Open] = []
     current = Block(UNKNOWN)
     in_link = False
 
@@ -200,7 +245,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
         text = " ".join(html.unescape("".join(current.parts)).split())
         if text:
             done.append((text, text.count(" ") + 1, len(html.unescape(" ".join(current.linked)).split()), current.place))
-        current = Block(stack[-1][1] if stack else UNKNOWN)
+        current = Block(stack[-1].place if stack else UNKNOWN)
 
     def add(text: str) -> None:
         if text:
@@ -208,6 +253,11 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             if in_link:
                 current.linked.append(text)
 
+    def imply(tag: str | None) -> None:
+        """Closes the open ``tag`` whose end tag is left out."""
+        if tag and stack and tag in stack[-1].closable:
+            del stack[stack[-1].closable[tag] :]
+
     at = 0
     for start, end, tag, ending, rest in _tokens(page):
         add(page[at:start])
@@ -219,14 +269,20 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             continue
         if tag in _BLOCK_TAGS:
             close()
+            if not ending:
+                imply(_CLOSES.get(tag))
+                imply("p" if tag not in _IN_PARAGRAPH else None)
         if tag in _NESTED:
             if not ending:
-                stack.append((tag, _hint(tag, rest, stack[-1][1] if stack else UNKNOWN)))
-            elif any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+                around = stack[-1] if stack else Open("", UNKNOWN, False, {})
+                # a list item ends within its list, a cell within its table
+                ends = {t: d for t, d in around.closable.items() if tag in _PASSED[t]} | ({tag: len(stack)} if tag in _PASSED else {})
+                stack.append(Open(tag, *_hint(tag, rest, around.place, around.apart), ends))
+            elif any(x.tag == tag for x in stack):
+                while stack.pop().tag != tag:
                     pass
-            if tag in _BLOCK_TAGS:
-                current.place = stack[-1][1] if stack else UNKNOWN
+        if tag in _BLOCK_TAGS:
+            current.place = stack[-1].place if stack else UNKNOWN
     add(page[at:])
     close()
     return done
