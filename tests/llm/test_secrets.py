@@ -57,6 +57,35 @@ def test_spans_equal_plain_scan(spark):
         assert r["masked"] == masked + (r["text"] or "")[at:]
 
 
+def test_whole_private_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [("MIIEow+/Ab9" * 6)[:64]] * 20 + ["Zk3+q=="]
+    body, fields = "\n".join(lines), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n"
+    texts = {
+        f"see {begin}\n{body}\n{end} and go on": "see [SECRET] and go on",
+        f"see {begin}\n{fields}{body}\n{end}\nand go on": "see [SECRET]\nand go on",
+        f"see {begin} {' '.join(lines)} {end} and go on": "see [SECRET] and go on",
+        f'{{"key": "{begin}\\n{body.replace(chr(10), chr(92) + "n")}\\n{end}\\n"}}': '{"key": "[SECRET]\\n"}',
+        f"> {begin}\n> {body.replace(chr(10), chr(10) + '> ')}\n> {end}\nyes": "> [SECRET]\nyes",
+        f"a {begin}\n{body}\n{end} b {begin}\r\n{body}\r\n{end} c": "a [SECRET] b [SECRET] c",
+        f"cut {begin}\n{body}": "cut [SECRET]",
+        f"cut {begin}\n{body[:69]}": "cut [SECRET]",
+        f"cut {begin}\nMIIE": "cut [SECRET]",
+        f"cut {begin}\n{fields}{body[:100]}": "cut [SECRET]",
+        f"cut {begin}\\n{fields.replace(chr(10), chr(92) + 'n')}{body[:100]}": "cut [SECRET]",
+        f"cut {begin}\n{body[:100]}\n{begin}\n{body}\n{end} b": "cut [SECRET][SECRET] b",
+        f"cut {begin}\n{body[:100]}... and go on": "cut [SECRET]... and go on",
+        f"the line {begin} opens a key, as one knows": "the line [SECRET] opens a key, as one knows",
+        f"long {begin}\n" + "\n".join(lines[:1] * 50000) + f"\n{end} b": "long [SECRET] b",
+        f"long {begin}\n" + "\n".join(lines[:1] * 50000): "long [SECRET]",
+        f"long {begin}" + " a-b" * 50000: "long [SECRET]" + " a-b" * 50000,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(docs).withColumn("masked", secrets.redact(F.col("text"), F.col("secret_spans"))).collect():
+        assert r["masked"] == texts[r["text"]], r["text"][:200]
+        assert [tuple(x) for x in r["secret_spans"]] == plain_spans(r["text"]), r["text"][:200]
+
+
 def test_every_match_passes_its_query():
     for text in TEXTS:
         low = (text or "").lower()

@@ -37,9 +37,15 @@ BASE_RULES = [
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 ]
+#: A private key: the BEGIN line, then all up to the END line if no other such line comes first; if there is none, as in a text that was cut off, the
+#: header fields and the base64 lines.  Line ends may be blanks or escaped.  Loops over single characters need no stack in Java; the hyphens of a body are few.
+_BODY = r"A-Za-z0-9+/="
+_GAPS = r"\x20\t\r\n\\\"'>"
+_ENDED = r"[^-]*(?:-{1,4}[^-]+){0,100}-----END [A-Z ]*PRIVATE KEY-----"
+_CUT_OFF = rf"(?:[{_GAPS}]*n?(?:Proc-Type|DEK-Info):\x20*[A-Za-z0-9,-]+){{0,4}}[{_GAPS}]*(?:[{_BODY}]{{16,}}[{_BODY}{_GAPS}]*|[{_BODY}]{{1,15}}[{_GAPS}]*$)"
 #: Formats that their issuers fix.
 MORE_RULES = [
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_ENDED}|{_CUT_OFF})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
