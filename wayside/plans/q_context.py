@@ -235,7 +235,7 @@ query(
 )(
     lambda m: context.context_shape_issues(
         m.batch.context.withColumn("context_source", F.when(F.col("context_source") == "request_station", F.lit("request_area")).otherwise(F.col("context_source")))
-    ).where("shape not like 'area%'")
+    )
 )
 
 query(

@@ -116,16 +116,16 @@ query(
 
 
 def _slice(m):
-    links = m.batch.candidates.where("bucket = 0").select("school_id", "station_id").distinct()
+    """Every row of the slice of all candidates, as JSON; the SQL counts the rows of the first bucket."""
+    links = m.batch.candidates.select("school_id", "station_id").distinct()
     dims = {
         "schools": m.schools, "stations": m.stations, "events": m.events, "popularity": m.popularity,
         "area_affinity": m.area_affinity, "user_affinity": m.user_affinity,
     }
-    parts = retrieval.candidate_slice(links, dims)
     out = None
-    for name in ("events", "schools", "stations", "area_affinity", "user_affinity", "popularity"):
-        row = parts[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
-        out = row if out is None else out.unionByName(row)
+    for name, part in retrieval.candidate_slice(links, dims).items():
+        rows = part.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -184,7 +184,6 @@ query(
     lambda m: m.batch.rows.select("request_id", "sig")
     .join(m.batch.planned[0], "sig")
     .select("request_id", *[F.get("counts", F.lit(i)).alias(f"n{i}") for i in range(6)], "fallback_stage", "selection")
-    .where("n5 > 0")
 )
 query(
     "plan_trace",
@@ -202,7 +201,7 @@ query(
        FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS i, unnest([n0, n1, n2, n3, n4, n5]) AS n FROM x_plan) p""",
 )(
     lambda m: m.batch.rows.select("request_id", "sig")
-    .join(m.batch.planned[0].where(F.get("counts", F.lit(5)) > 0), "sig")
+    .join(m.batch.planned[0], "sig")
     .select("request_id", F.posexplode("stages").alias("stage_order", "s"))
     .select("request_id", "stage_order", "s.stage", "s.candidate_count", "s.status", "s.reason_code")
 )
