@@ -88,3 +88,17 @@ def test_every_capacity_holds(spark, select):
     assert sorted(r["doc_id"] for r in rows) == list(range(500))
     for parts in holds(rows, 100).values():
         assert len(parts) <= 3 and sum(n * n for _, n in parts) <= 10000
+
+
+@pytest.mark.parametrize("select", ["norm", "dot"])
+def test_attention_capacity_binds(spark, select):
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 61, 500)
+    pieces = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+
+    def cost(rows):
+        return [sum(n * n for _, n in parts) for parts in holds(rows, 100).values()]
+
+    rows = packing.pack(pieces, 100, max_attention=4000, select=select).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(500)) and max(cost(rows)) <= 4000
+    assert max(cost(packing.pack(pieces, 100, select=select).collect())) > 4000
