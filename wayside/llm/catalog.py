@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wayside.llm import fingerprints, html_text, language, minhash, mixing, packing, quality, secrets, toxicity, vectors
+from wayside.llm import chat, fingerprints, html_text, language, minhash, mixing, packing, quality, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
+    "op11_chat": chat.op11_chat,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secret_scan": secrets.oracle_sql(),
     "op5_near_vectors": vectors.oracle_sql(),
+    "op11_chat": chat.oracle_sql(),
 }
