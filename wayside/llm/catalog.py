@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wayside.llm import chat, fingerprints, html_text, language, minhash, mixing, packing, quality, secrets, toxicity, vectors
+from wayside.llm import chat, clusters, codes, fingerprints, html_text, language, minhash, mixing, packing, quality, secrets, toxicity, vectors
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
     "op11_chat": chat.op11_chat,
+    "op12_clusters": clusters.op12_clusters,
+    "op13_codes": codes.op13_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +26,6 @@ ORACLES: dict[str, str] = {
     "op3_secret_scan": secrets.oracle_sql(),
     "op5_near_vectors": vectors.oracle_sql(),
     "op11_chat": chat.oracle_sql(),
+    "op12_clusters": clusters.oracle_sql(),
+    "op13_codes": codes.oracle_sql(),
 }
