@@ -158,8 +158,8 @@ def oracle_sql() -> str:
     """All rounds over all pairs of vectors and centroids in DuckDB."""
     parts = [
         f"""kept AS MATERIALIZED (
-        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-        WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        SELECT row_number() OVER () AS r, vec_id, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q FROM embeddings
+        WHERE len(embedding) = {WIDTH} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
         f"cell AS MATERIALIZED (SELECT r, i, q[i] AS x FROM kept, range(1, {WIDTH + 1}) AS t(i))",
         f"""first AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c FROM kept
         QUALIFY c < {CLUSTERS})""",

@@ -202,8 +202,8 @@ def oracle_sql() -> str:
     """All rounds over all parts and entries in DuckDB, for vectors of one length."""
     parts = [
         f"""kept AS MATERIALIZED (
-        SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q, len(embedding) // {PARTS} AS w FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q, len(embedding) // {PARTS} AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
         "cell AS MATERIALIZED (SELECT r, (i - 1) // w AS p, (i - 1) % w AS i, x FROM (SELECT r, w, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM kept))",
         f"first AS (SELECT r, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM kept QUALIFY e < {ENTRIES})",
         "entry0 AS MATERIALIZED (SELECT p, e, i, x AS y FROM first JOIN cell USING (r))",

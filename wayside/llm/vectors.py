@@ -276,7 +276,7 @@ def oracle_sql() -> str:
     return f"""
     WITH RECURSIVE usable AS (
         SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-        WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        WHERE len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
     links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {COSINE}),
     reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
     component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
