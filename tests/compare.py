@@ -61,8 +61,9 @@ def check(spark, con, name, sf: str = SF):
         return False, f"columns differ: {sorted(df.columns)} vs {sorted(cols)}"
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:3]
-        only_b = [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [x for x in a if x not in in_b][:3]
+        only_b = [x for x in b if x not in in_a][:3]
         return False, f"{note}\n   columns {sorted(cols)}\n   spark {only_a}\n   sql   {only_b}"
     return True, note if got else note + " EMPTY"
 

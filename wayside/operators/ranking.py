@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayside.config import AREA_CONFLICT, CORE_REASONS, DEFAULT_CONFIG, PLACEMENT_LABELS, RankingConfig
 from wayside.functions.geo import sphere_m
 from wayside.functions.text import non_blank, same_ascii, truthy
-from wayside.operators import explain
+from wayside.operators import explain, ranks
 from wayside.operators.explain import fill, lookup
 from wayside.session import settle, spread
 
@@ -276,14 +276,13 @@ def link_components(cands: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> Da
     )
 
 
-def base_components(selected: DataFrame, classes: DataFrame, user_affinity: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Selected-stage links per request class, with all base parts.
+def request_components(rows: DataFrame, user_affinity: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Add the base parts that depend on the request class, and ``base_score``, to links with their class.
 
     ``walking_minutes`` names both a link column and a score part; inside the
     pipeline the part is called ``walking_minutes_score``.
     """
     c = F.col
-    rows = spread(selected.join(classes, "sig"), "class_id")
     ua = user_affinity.select("user_id", "school_id", F.struct("user_id", "affinity_score", "event_count").alias("user_affinity"))
     rows = rows.join(ua, ["user_id", "school_id"], "left")
     neighbor = c("fallback_stage") == "neighbor_area"
@@ -301,6 +300,16 @@ def base_components(selected: DataFrame, classes: DataFrame, user_affinity: Data
     return rows.withColumn("base_score", _sum(["walking_minutes_score" if n == "walking_minutes" else n for n in COMPONENTS[:9]]))
 
 
+def base_scores(selected: DataFrame, classes: DataFrame, user_affinity: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Selected-stage links per request class: their keys and ``base_score`` only.
+
+    This is what ranking multiplies; names, texts and score parts are looked up
+    again for the few picked links.
+    """
+    rows = spread(selected.join(classes, "sig"), "class_id")
+    return request_components(rows, user_affinity, cfg).select(*LINK_KEY, "placement", "base_score")
+
+
 LINK_KEY = ["class_id", "school_id", "group_id", "station_id"]
 ITEM = ["class_id", "content_kind", "content_id", "school_id", "group_id", "station_id", "event_id", "score"]
 
@@ -391,35 +400,72 @@ def diversify(items: DataFrame, classes: DataFrame, cfg: RankingConfig = DEFAULT
     return rows.withColumn("picked", picked).drop("items")
 
 
-def diversity_summary(base: DataFrame, visible: DataFrame, picks: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Counts of items skipped by the school, group and kind caps.
+def _event_skips(base: DataFrame, visible: DataFrame, cut: DataFrame, cfg: RankingConfig) -> DataFrame:
+    """``class_id, why, n``: events of each school skipped before the last pick.
 
-    These need every item that ranks before the last pick.  Links whose best
-    possible item ranks after it are dropped first, so events are only spelled
-    out for links that contribute.
+    Of a school's links only the best one gives its events their rank.  An item
+    is skipped for its school behind the pick that fills the school's cap, else
+    for its group behind the one that fills the group's, else for its kind; so
+    the numbers of events before those picks and before the last one, asked from
+    the school's bonus steps, tell all counts.
     """
     c = F.col
-    full = F.size("picked") >= c("limit")
-    cut = picks.select(
-        "class_id", "picked", "school_cap", "group_cap",
-        F.when(full, F.element_at("picked", -1)).alias("last"),
-    )
-    heads = visible.groupBy("school_id", "placement").agg(
-        F.max(F.coalesce("open_day_bonus", F.lit(0.0)) + F.coalesce("featured_event_bonus", F.lit(0.0)) + F.coalesce("event_priority_boost", F.lit(0.0))).alias("_best")
-    )
+    best = base.groupBy("class_id", "school_id", "group_id", "placement").agg(F.max("base_score").alias("base_score")).join(cut, "class_id")
     boost = _placement(cfg, "event_boost")
-    reach = base.join(heads, ["school_id", "placement"]).join(cut.select("class_id", c("last.score").alias("_floor")), "class_id")
-    # the small margin covers the order of the additions
-    alive = reach.where(c("_floor").isNull() | (c("base_score") + boost + c("_best") >= c("_floor") - 1e-9))
-    # what an event adds does not depend on the link, so of a school's links only the best one can give its events their rank
-    others = [n for n in LINK_KEY if n != "station_id"]
-    best_link = alive.groupBy(*others, "placement").agg(F.min(F.struct((-c("base_score")).alias("neg"), "station_id")).alias("l"))
-    links = best_link.select(*[c("l.station_id").alias(n) if n == "station_id" else c(n) for n in LINK_KEY], "placement", (-c("l.neg")).alias("base_score"))
-    items = _school_rows(base, cfg).unionByName(_event_rows(links, visible, cfg))
-    best = items.groupBy("class_id", "content_kind", "content_id").agg(
+    same = lambda name, cap: F.get(  # noqa: E731 - place in the picks, from one, of the one that fills the cap
+        F.filter(F.transform("picked", lambda p, i: F.when(p[name] == c(name), i + 1)), lambda i: i.isNotNull()), c(cap) - 1
+    )
+    none = F.lit(1 << 30)
+    rows = best.withColumns({"at_school": F.coalesce(same("school_id", "school_cap"), none), "at_group": F.coalesce(same("group_id", "group_cap"), none)})
+    rows = rows.withColumn("at_last", F.when(F.size("picked") >= c("limit"), F.size("picked")).otherwise(none))
+    own = lambda p: (p["school_id"] == c("school_id")) & (p["content_kind"] == "event")
+    mine = F.transform("picked", lambda p, i: F.when(own(p), i + 1))
+    first = F.least("at_school", "at_group", "at_last")
+    cuts = F.array(
+        F.struct(F.lit("last").alias("cut"), c("at_last").alias("at")),
+        F.when(c("at_school") < c("at_last"), F.struct(F.lit("school").alias("cut"), c("at_school").alias("at"))),
+        F.when(c("at_group") < F.least("at_school", "at_last"), F.struct(F.lit("group").alias("cut"), c("at_group").alias("at"))),
+    )
+    point = ["class_id", "school_id", "cut"]
+    rows = rows.withColumns({"taken": F.size(F.filter(mine, lambda i: i < first)), "x": F.explode(F.array_compact(cuts))}).select(
+        "*", c("x.cut").alias("cut"), F.get("picked", c("x.at") - 1).alias("pick")
+    )
+    points = settle(
+        rows.select(
+            *point, "placement", (c("base_score") + F.when(boost != 0, boost).otherwise(F.lit(0.0))).alias("base"), "taken",
+            c("pick.score").alias("score"), c("pick.content_kind").alias("content_kind"), c("pick.content_id").alias("content_id"),
+            F.coalesce(own(c("pick")), F.lit(False)).cast("int").alias("is_own"),
+        )
+    )
+    found = ranks.events_before(points, ranks.bonus_steps(visible), point)
+    per_school = points.join(found, point).groupBy("class_id", "school_id").agg(
+        F.max("taken").alias("taken"), *[F.max(F.when(c("cut") == n, c(v))).alias(f"{v}_{n}") for n in ("last", "school", "group") for v in ("n", "is_own")]
+    )
+    before_school = F.coalesce("n_school", "n_last")
+    return per_school.select(
+        "class_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit("same_school").alias("why"), F.coalesce(c("n_last") - c("n_school") - c("is_own_school"), F.lit(0)).alias("n")),
+                F.struct(F.lit("same_group").alias("why"), F.coalesce(before_school - c("n_group") - c("is_own_group"), F.lit(0)).alias("n")),
+                F.struct(F.lit("kind_event").alias("why"), (F.coalesce("n_group", before_school) - c("taken")).alias("n")),
+            )
+        ).alias("s"),
+    ).select("class_id", "s.why", "s.n")
+
+
+def diversity_summary(base: DataFrame, visible: DataFrame, picks: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Counts of items skipped by the school, group and kind caps before the last pick.
+
+    Schools are looked at one by one, events are counted by rank queries (see ``ranks``).
+    """
+    c = F.col
+    cut = picks.select("class_id", "picked", "school_cap", "group_cap", "limit")
+    last = F.when(F.size("picked") >= c("limit"), F.element_at("picked", -1))
+    best = _school_rows(base, cfg).groupBy("class_id", "content_kind", "content_id").agg(
         F.min(F.struct((-c("score")).alias("neg"), "content_kind", "content_id", "station_id", "school_id", "group_id")).alias("x")
     )
-    rows = best.select("class_id", "x").join(cut, "class_id")
+    rows = best.select("class_id", "x").join(cut.withColumn("last", last), "class_id")
     rank = ["neg", "content_kind", "content_id", "station_id"]
 
     def key(s):
@@ -430,11 +476,10 @@ def diversity_summary(base: DataFrame, visible: DataFrame, picks: DataFrame, cfg
     taken = F.exists("picked", lambda p: (p["content_kind"] == c("x.content_kind")) & (p["content_id"] == c("x.content_id")))
     school = F.size(F.filter(ahead, lambda p: p["school_id"] == c("x.school_id"))) >= c("school_cap")
     group = F.size(F.filter(ahead, lambda p: p["group_id"] == c("x.group_id"))) >= c("group_cap")
-    skipped = before.where(~taken).select(
-        "class_id", F.when(school, "same_school").when(group, "same_group").otherwise(F.concat(F.lit("kind_"), c("x.content_kind"))).alias("why")
-    )
+    schools = before.where(~taken).select("class_id", F.when(school, "same_school").when(group, "same_group").otherwise("kind_school").alias("why"), F.lit(1).cast("long").alias("n"))
+    skipped = schools.unionByName(_event_skips(base, visible, cut, cfg))
     return skipped.groupBy("class_id").agg(
-        *[F.count_if(c("why") == n).alias(f"skipped_{n}") for n in ("same_school", "same_group", "kind_school", "kind_event")]
+        *[F.coalesce(F.sum(F.when(c("why") == n, c("n"))), F.lit(0)).alias(f"skipped_{n}") for n in ("same_school", "same_group", "kind_school", "kind_event")]
     )
 
 
@@ -580,8 +625,10 @@ def pick_items(base: DataFrame, classes: DataFrame, visible: DataFrame, cfg: Ran
     return diversify(best_items(items), classes, cfg)
 
 
-def describe_items(picks: DataFrame, base: DataFrame, events: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Spell out the picked items: names, score parts and explanation."""
+def describe_items(
+    picks: DataFrame, selected: DataFrame, classes: DataFrame, user_affinity: DataFrame, events: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG
+) -> DataFrame:
+    """Spell out the picked items: names, score parts and explanation, rebuilt by key for the picked links."""
     c = F.col
     flat = picks.select("class_id", F.posexplode("picked").alias("pos", "p")).select(
         "class_id", (c("pos") + 1).alias("position"), *[c(f"p.{n}").alias(n) for n in ("content_kind", "content_id", "school_id", "station_id", "event_id", "score")]
@@ -589,7 +636,8 @@ def describe_items(picks: DataFrame, base: DataFrame, events: DataFrame, cfg: Ra
     ev = events.select(
         c("id").alias("event_id"), c("title").alias("event_title"), "event_category", "is_open_day", "is_featured", "priority_weight"
     )
-    rows = flat.join(base, ["class_id", "school_id", "station_id"]).join(ev, "event_id", "left")
+    rows = flat.join(classes, "class_id").join(selected, ["sig", "school_id", "station_id"])
+    rows = request_components(rows, user_affinity, cfg).join(ev, "event_id", "left")
     event = c("content_kind") == "event"
     boost = F.when(event, _placement(cfg, "event_boost")).otherwise(_placement(cfg, "school_boost"))
     rows = rows.withColumns(

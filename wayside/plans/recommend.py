@@ -91,7 +91,7 @@ class Recommendation:
     def base(self) -> DataFrame:
         _, selected = self.planned
         _, classes = self.classes
-        return settle(ranking.base_components(selected, classes, self.t.user_affinity, self.cfg))
+        return settle(ranking.base_scores(selected, classes, self.t.user_affinity, self.cfg))
 
     @cached_property
     def visible(self) -> DataFrame:
@@ -104,7 +104,9 @@ class Recommendation:
 
     @cached_property
     def class_items(self) -> DataFrame:
-        return ranking.describe_items(self.picks, self.base, self.t.events, self.cfg)
+        _, selected = self.planned
+        _, classes = self.classes
+        return ranking.describe_items(self.picks, selected, classes, self.t.user_affinity, self.t.events, self.cfg)
 
     def items(self) -> DataFrame:
         """One row per request and position."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +33,11 @@ def build_session(app: str = "wayside", cpus: str | None = None, **conf: str) ->
 def settle(df: DataFrame) -> DataFrame:
     """Materialise a result that several branches of a plan read.
 
-    Uses a reliable checkpoint in the shared folder named by
-    ``spark.checkpoint.dir``, so a lost executor costs a re-read and not a
-    recomputation.  Where that setting is absent (tests, benchmarks) the folder
+    It is written as Parquet to the shared folder named by
+    ``spark.checkpoint.dir`` and read again, so a lost executor costs a re-read
+    and not a recomputation, a branch reads only its columns, and the optimizer
+    knows the size (a checkpoint keeps the estimate of its plan, which grows with
+    every join).  Where that setting is absent (tests, benchmarks) the folder
     lies in the session's warehouse, which every executor sees as well.
     """
     session = df.sparkSession
@@ -42,7 +45,9 @@ def settle(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         shared = session.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or f"{session.conf.get('spark.sql.warehouse.dir')}/_settled")
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
