@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayside.functions.geo import CELL_SLACK, add_direction, add_distance, axes, direction_columns, ellipsoid_m, sphere_m
+from wayside.functions.geo import CELL_SLACK, WGS84_A, add_direction, add_distance, axes, direction_columns, ellipsoid_m, sphere_m
+from wayside.operators.topn import first_per_key
+from wayside.session import settle
 
 EARTH_SPAN_M = 41_000_000.0
 
@@ -16,24 +18,12 @@ def with_distance(pairs: DataFrame, mode: str = "ellipsoid") -> DataFrame:
     return add_distance(pairs, mode, "from_latitude", "from_longitude", "to_latitude", "to_longitude", "distance_m")
 
 
-CUBE = ["_level", "_x", "_y", "_z"]
+CUBE = ["_x", "_y", "_z"]
 
 
-def _cubes(df: DataFrame, lat: str, lon: str, sizes: list[float], level=None, around: bool = False) -> DataFrame:
-    """Add the grid cube of each row, once per size (or at ``level`` only).
-
-    With ``around`` a row is repeated for its cube and the 26 that touch it.
-    """
-    ax, ay, az = axes(F.col(lat), F.col(lon))
-    scale = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(size)).alias("size")) for i, size in enumerate(sizes)])
-    scale = F.explode(scale) if level is None else F.get(scale, level)
-    out = df.withColumns({"_gx": ax, "_gy": ay, "_gz": az}).withColumn("_scale", scale)
-    out = out.withColumns(
-        {
-            "_level": F.col("_scale.level"),
-            **{f"_{c}": F.floor(F.col(f"_g{c}") / F.col("_scale.size")).cast("int") for c in "xyz"},
-        }
-    )
+def _cubes(df: DataFrame, lat: str, lon: str, size: float, around: bool = False) -> DataFrame:
+    """Add the grid cube of each row; with ``around`` a row is repeated for its cube and the 26 that touch it."""
+    out = df.withColumns({f"_{n}": F.floor(a / size).cast("int") for n, a in zip("xyz", axes(F.col(lat), F.col(lon)), strict=True)})
     if around:
         out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(26))))
         out = out.withColumns(
@@ -43,7 +33,7 @@ def _cubes(df: DataFrame, lat: str, lon: str, sizes: list[float], level=None, ar
                 "_z": F.col("_z") + F.floor(F.col("_o") / 9).cast("int") - 1,
             }
         ).drop("_o")
-    return out.drop("_gx", "_gy", "_gz", "_scale")
+    return out
 
 
 def within_join(left: DataFrame, right: DataFrame, radius_m: float, mode: str = "ellipsoid") -> DataFrame:
@@ -53,7 +43,7 @@ def within_join(left: DataFrame, right: DataFrame, radius_m: float, mode: str =
     ``from_*`` / ``to_*``.  The left side is repeated for its 27 cubes, the
     right side is not, so the plan is one equi-join with a residual.
     """
-    size = [radius_m * CELL_SLACK]
+    size = radius_m * CELL_SLACK
     l = left.withColumnsRenamed({"latitude": "from_latitude", "longitude": "from_longitude"})
     r = right.withColumnsRenamed({"latitude": "to_latitude", "longitude": "to_longitude"})
     l = add_direction(l, "from_latitude", "from_longitude", "_a")
@@ -73,6 +63,16 @@ def _levels(start_m: float, stop_m: float) -> list[float]:
     return sizes
 
 
+def _blocks(points: DataFrame, spots: DataFrame, levels: list[int]) -> DataFrame:
+    """Points with the spots in the 27 cubes around them, at each point's ``_level``; spots are listed at the given levels only."""
+    cube = [F.expr(f"shiftright(_{c}, 2 * _level)") for c in "xyz"]
+    around = [F.col("_o") % 3, F.floor(F.col("_o") / 3) % 3, F.floor(F.col("_o") / 9)]
+    left = points.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(26)))).withColumns({f"_c{c}": (at + o - 1).cast("int") for c, at, o in zip("xyz", cube, around, strict=True)})
+    right = spots.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels]))).withColumns({f"_c{c}": at for c, at in zip("xyz", cube, strict=True)})
+    on = ["_level", "_cx", "_cy", "_cz"]
+    return left.drop("_o", "_x", "_y", "_z").join(right.drop("_x", "_y", "_z"), on).drop(*on)
+
+
 def nearest(
     points: DataFrame,
     places: DataFrame,
@@ -90,36 +90,61 @@ def nearest(
     Of the places at one coordinate only the first ``k`` by the tie break can
     win, so a hot coordinate is cut before it meets any point.
 
-    Search cubes grow by a factor of four.  A point is answered at the first
-    size whose block of 27 cubes holds ``k`` places, one size up: everything
-    in such a block is within 3.5 sides, so the next size is known to hold the
-    true neighbours.  Dense spots are therefore read with small cubes and only
-    remote points look far; no pair outside the chosen block is formed.
+    Cubes grow by a factor of four.  Places are counted in the smallest cubes
+    and those counts added up to the larger ones; the counts around a point are
+    looked up for each occupied cube once.  The smallest block of 27 cubes with
+    ``k`` places gives a first ring, whose k-th distance bounds the search: the
+    second ring is the block that reaches that far, and only spots within the
+    bound are ranked and get their payload.  Spots are listed at the sizes that
+    points have chosen, so dense towns are read with small cubes and only remote
+    points look far.
     """
+    c = F.col
     sizes = _levels(start_m, radius_m * CELL_SLACK if radius_m else EARTH_SPAN_M)
     last = len(sizes) - 1
-    spot = W.partitionBy("latitude", "longitude").orderBy(*tie_break)
-    places = places.withColumn("_rn", F.row_number().over(spot)).where(F.col("_rn") <= k).drop("_rn")
-    spots = places.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
-    filled = _cubes(spots, "latitude", "longitude", sizes).groupBy(*CUBE).agg(F.sum("n").alias("n"))
-    pts = points.select("latitude", "longitude")
-    seen = _cubes(pts, "latitude", "longitude", sizes, around=True).join(filled, CUBE, "left")
-    per_level = seen.groupBy("latitude", "longitude", "_level").agg(F.sum("n").alias("n"))
-    first_full = F.min(F.when(F.col("n") >= k, F.col("_level"))) + 1
-    chosen = per_level.groupBy("latitude", "longitude").agg(F.least(F.coalesce(first_full, F.lit(last)), F.lit(last)).alias("_pick"))
-    left = add_direction(chosen, "latitude", "longitude", "_a")
-    left = _cubes(left, "latitude", "longitude", sizes, level=F.col("_pick"), around=True).withColumnsRenamed(
-        {"latitude": "from_latitude", "longitude": "from_longitude"}
-    )
-    right = add_direction(_cubes(places, "latitude", "longitude", sizes), "latitude", "longitude", "_b").withColumnsRenamed(
-        {"latitude": "to_latitude", "longitude": "to_longitude"}
+    levels = F.array(*[F.lit(i) for i in range(len(sizes))])
+    places = first_per_key(places, ["latitude", "longitude"], list(tie_break), k)
+
+    def with_cube(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_{n}": F.floor(a / sizes[0]).cast("int") for n, a in zip("xyz", axes(c("latitude"), c("longitude")), strict=True)})
+
+    cube = ["_level", "_cx", "_cy", "_cz"]
+    at_levels = {f"_c{n}": F.expr(f"shiftright(_{n}, 2 * _level)") for n in "xyz"}
+    spots = settle(with_cube(places.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("_n"))))
+    filled = spots.groupBy("_x", "_y", "_z").agg(F.sum("_n").alias("_n")).withColumn("_level", F.explode(levels)).withColumns(at_levels).groupBy(*cube).agg(F.sum("_n").alias("_n"))
+    located = with_cube(points.select("latitude", "longitude"))
+    asked = located.select("_x", "_y", "_z").distinct().withColumn("_level", F.explode(levels)).withColumns(at_levels)
+    own = {f"_o{n}": c(f"_c{n}") for n in "xyz"}
+    ring = asked.select(*cube).distinct().withColumns(own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(26)))).withColumns(
+        {"_cx": (c("_cx") + c("_o") % 3 - 1).cast("int"), "_cy": (c("_cy") + F.floor(c("_o") / 3) % 3 - 1).cast("int"), "_cz": (c("_cz") + F.floor(c("_o") / 9) - 1).cast("int")}
     )
-    pairs = left.drop("_pick").join(right, CUBE).withColumn("distance_m", ellipsoid_m("_a", "_b"))
-    pairs = pairs.drop(*CUBE, *direction_columns("_a"), *direction_columns("_b"))
-    order = W.partitionBy("from_latitude", "from_longitude").orderBy("distance_m", *tie_break)
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # the radius is applied to the ranked rows: the k nearest within it are the k nearest that lie within it
-    return ranked.where(F.col("distance_m") <= radius_m) if radius_m else ranked
+    full = ring.join(filled, cube).groupBy("_level", *own).agg(F.sum("_n").alias("_n")).where(c("_n") >= k).withColumnsRenamed({f"_o{n}": f"_c{n}" for n in "xyz"})
+    first = asked.join(full.drop("_n"), cube, "left_semi").groupBy("_x", "_y", "_z").agg(F.min("_level").alias("_full"))
+    chosen = settle(located.join(first, ["_x", "_y", "_z"], "left"))
+
+    to = add_direction(spots.withColumnsRenamed({"latitude": "to_latitude", "longitude": "to_longitude"}), "to_latitude", "to_longitude", "_b")
+    point = ["from_latitude", "from_longitude"]
+    left = add_direction(chosen.withColumnsRenamed({"latitude": "from_latitude", "longitude": "from_longitude"}), "from_latitude", "from_longitude", "_a")
+    found = {r["_full"] for r in chosen.select("_full").distinct().collect()}  # a row per cube size
+    used = sorted(found - {None})
+    reach = F.lit(None).cast("double")
+    if used:
+        inner = _blocks(left.where("_full IS NOT NULL").withColumn("_level", c("_full")), to, used).select(*point, ellipsoid_m("_a", "_b").alias("_d"), "_n")
+        so_far = F.sum("_n").over(W.partitionBy(*point).orderBy("_d").rangeBetween(W.unboundedPreceding, W.currentRow))
+        bounds = inner.withColumn("_n", so_far).where(c("_n") >= k).groupBy(*point).agg(F.min("_d").alias("_bound"))
+        left, reach = left.join(bounds, point, "left"), c("_bound")
+    size = F.get(F.array(*[F.lit(float(x)) for x in sizes]), c("_full"))
+    second = F.when(reach * CELL_SLACK <= size, c("_full")).otherwise(F.least(c("_full") + 1, F.lit(last)))
+    left = left.withColumns({"_reach": reach, "_level": F.coalesce(second, F.lit(last))}).drop("_full", "_bound")
+    chord2 = sum((c(f"_a{n}") - c(f"_b{n}")) * (c(f"_a{n}") - c(f"_b{n}")) for n in "xyz")
+    within = c("_reach").isNull() | (chord2 * WGS84_A**2 <= (c("_reach") * CELL_SLACK) * (c("_reach") * CELL_SLACK))
+    sizes_used = sorted({min(i + j, last) for i in used for j in (0, 1)} | ({last} if None in found or not used else set()))
+    pairs = _blocks(left, to, sizes_used).where(within).withColumn("distance_m", ellipsoid_m("_a", "_b"))
+    pairs = pairs.where(c("_reach").isNull() | (c("distance_m") <= c("_reach")))
+    pairs = (pairs.where(c("distance_m") <= radius_m) if radius_m else pairs).select(*point, "to_latitude", "to_longitude", "distance_m")
+    named = places.withColumnsRenamed({"latitude": "to_latitude", "longitude": "to_longitude"})
+    order = W.partitionBy(*point).orderBy("distance_m", *tie_break)
+    return pairs.join(named, ["to_latitude", "to_longitude"]).withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
 
 
 def derive_links(schools_geo: DataFrame, stations: DataFrame, radius_m: float = 2500.0, k: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ from wayside.functions.text import non_blank, truthy
 from wayside.operators import graph
 from wayside.operators.context import school_area
 from wayside.operators.links import nearest, within_join
+from wayside.operators.topn import first_per_key
 from wayside.session import settle, spread
 
 LINK = ["school_id", "station_id", "walking_minutes", "distance_meters", "hop_distance", "line_name"]
@@ -70,9 +71,8 @@ def distinct_signatures(rows: DataFrame, line_adj: DataFrame, area_adj: DataFram
 
 
 def _top(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """First ``limit`` links per key by the contract order (cut before the shuffle, too)."""
-    order = W.partitionBy(*keys).orderBy(*CONTRACT)
-    return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+    """First ``limit`` links per key by the contract order."""
+    return first_per_key(df, keys, CONTRACT, limit)
 
 
 def _flags(rows: DataFrame, cap: float) -> DataFrame:
@@ -124,6 +124,9 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
     is exact, and a line or city with a third of all links costs ``limit`` rows
     per request.  Links outside every flag are only added for signatures with
     too few flagged ones, by a nearest search.
+
+    Up to the flags a link is its key and its order columns; what else it holds
+    is joined once, for the links that are left.
     """
     c = F.col
     cap, limit = cfg.neighbor_cap_meters, cfg.candidate_limit
@@ -140,8 +143,8 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
             "_pref": F.lower(F.coalesce("school_prefecture_name", F.lit(""))),
         }
     )
-    link_cols = enriched.columns
-    out_cols = ["sig", *link_cols]
+    slim = bare.select(*CONTRACT, "line_name", "hop_distance", "candidate_line_id", "candidate_area_id", "latitude", "longitude", "_bare", "_area", "_pref")
+    link = ["school_id", "station_id"]
 
     def key(tag: str, *values: Column) -> Column:
         return F.concat(F.lit(f"{tag}:"), *[x for v in values for x in (v, F.lit("|"))])
@@ -163,9 +166,9 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
         # an adjacent area is only a neighbour outside the asked city and line, so those stay apart
         entry(key("area", c("candidate_area_id")), key("sub", c("_bare").cast("string"), c("_area"))),
     )
-    keyed = bare.withColumn("_e", F.explode(F.filter(entries, lambda e: e["k"].isNotNull())))
-    keyed = keyed.withColumns({"_key": c("_e.k"), "_sub": c("_e.sub")}).drop("_e")
-    keyed = _top(keyed, ["_key", "_sub"], keep).select("_key", *link_cols)
+    keyed = slim.select(*CONTRACT, F.explode(F.filter(entries, lambda e: e["k"].isNotNull())).alias("_e"))
+    keyed = keyed.select(*CONTRACT, c("_e.k").alias("_key"), c("_e.sub").alias("_sub"))
+    keyed = _top(keyed, ["_key", "_sub"], keep).select("_key", *link)
 
     city, asked = F.lower("city_name"), F.lower("prefecture_name")
     wants = F.concat(
@@ -178,7 +181,7 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
         ),
         F.when(c("explicit"), F.transform("adjacent_areas", lambda a: key("area", a))).otherwise(F.array().cast("array<string>")),
     )
-    asking = sigs.withColumn("_key", F.explode(F.array_compact(wants)))
+    asking = sigs.select("sig", F.explode(F.array_compact(wants)).alias("_key"))
     parts = [asking.join(keyed, "_key")]
 
     # links around the distinct target spots, cut per spot before they meet it
@@ -186,24 +189,23 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
     spots = around.select(c("target_latitude").alias("latitude"), c("target_longitude").alias("longitude")).distinct()
     places = enriched.select("latitude", "longitude").distinct()
     spot_pairs = within_join(spots, places, cap).drop("distance_m")
-    local = _top(bare.withColumns({"_lat": c("latitude"), "_lon": c("longitude")}), ["_lat", "_lon", "candidate_line_id", "hop_distance", "_area"], keep)
-    nearby = spot_pairs.join(local, (c("to_latitude") == c("_lat")) & (c("to_longitude") == c("_lon")))
+    local = _top(slim.select(*CONTRACT, "hop_distance", "candidate_line_id", "latitude", "longitude", "_bare", "_area"), ["latitude", "longitude", "candidate_line_id", "hop_distance", "_area"], keep)
+    nearby = spot_pairs.join(local, (c("to_latitude") == c("latitude")) & (c("to_longitude") == c("longitude")))
     spot = ["from_latitude", "from_longitude"]
     at_spot = (c("target_latitude") == c("from_latitude")) & (c("target_longitude") == c("from_longitude"))
-    neighbors = _top(nearby, [*spot, "_bare", "_area"], keep).select(*link_cols, *spot)
-    parts.append(sigs.where("explicit").join(neighbors, at_spot))
-    on_lines = _top(nearby.where(~c("_bare")), [*spot, "candidate_line_id", "hop_distance"], keep).select(*link_cols, *spot)
-    parts.append(
-        sigs.withColumn("_adjacent", F.explode("adjacent_lines")).join(on_lines, at_spot & (c("_adjacent") == c("candidate_line_id")))
-    )
+    neighbors = _top(nearby, [*spot, "_bare", "_area"], keep).select(*link, *spot)
+    at = sigs.select("sig", "target_latitude", "target_longitude", "explicit", "adjacent_lines")
+    parts.append(at.where("explicit").join(neighbors, at_spot))
+    on_lines = _top(nearby.where(~c("_bare")), [*spot, "candidate_line_id", "hop_distance"], keep).select(*link, *spot, "candidate_line_id")
+    parts.append(at.withColumn("_adjacent", F.explode("adjacent_lines")).join(on_lines, at_spot & (c("_adjacent") == c("candidate_line_id"))))
 
-    union = parts[0].select(*out_cols)
+    union = parts[0].select("sig", *link)
     for part in parts[1:]:
-        union = union.unionByName(part.select(*out_cols))
+        union = union.unionByName(part.select("sig", *link))
 
-    # few rows fan out here, so they are spread before the flags are worked out; the window needs the same partitioning
-    union = spread(union, "sig").join(sigs, "sig")
-    # the same link can come from several pools: equal rows get one dense rank, and links without a flag rank last
+    # the same link can come from several pools; few rows fan out here, so they are spread before the flags are worked out, as the window needs them
+    union = spread(union.distinct().join(enriched, link), "sig").join(sigs, "sig")
+    # links without a flag rank last
     order = W.partitionBy("sig").orderBy("bucket", *CONTRACT)
     ranked = _flags(union, cap).withColumn("position", F.dense_rank().over(order))
     scoped = ranked.where((c("position") <= limit) & (c("bucket") < 6)).dropDuplicates(["sig", "position"])
