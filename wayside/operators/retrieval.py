@@ -133,7 +133,6 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
     minimum = max(cfg.minimum_candidates, 1)
     # directions are worked out per place, so that a pair needs little trigonometry
     sigs = add_direction(sigs, "target_latitude", "target_longitude", "_a")
-    out_links = enriched.columns
     enriched = add_direction(enriched, "latitude", "longitude", "_b")
     keep = max(limit, minimum)
     bare = enriched.withColumns(
@@ -203,13 +202,13 @@ def context_candidates(sigs: DataFrame, enriched: DataFrame, cfg: RankingConfig
     for part in parts[1:]:
         union = union.unionByName(part.select("sig", *link))
 
-    # the same link can come from several pools; few rows fan out here, so they are spread before the flags are worked out, as the window needs them
-    union = spread(union.distinct().join(enriched, link), "sig").join(sigs, "sig")
-    # links without a flag rank last
+    # few rows fan out here, so they are spread before the flags are worked out, as the window needs them
+    union = spread(union.join(enriched.drop("latitude", "longitude", "school_area_id"), link), "sig").join(sigs, "sig")
+    # the same link can come from several pools: equal rows get one dense rank, and links without a flag rank last
     order = W.partitionBy("sig").orderBy("bucket", *CONTRACT)
     ranked = _flags(union, cap).withColumn("position", F.dense_rank().over(order))
     scoped = ranked.where((c("position") <= limit) & (c("bucket") < 6)).dropDuplicates(["sig", "position"])
-    scoped = settle(scoped.select("sig", *out_links, "target_distance", "bucket", "position"))
+    scoped = settle(scoped.select("sig", *LINK, "target_distance", "bucket", "position"))
 
     found = scoped.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
     under = sigs.join(found, "sig", "left").where(F.coalesce("_n", F.lit(0)) < minimum)
