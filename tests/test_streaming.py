@@ -1,11 +1,16 @@
 """Streams on small files, against the batch operators."""
 
 import json
+from datetime import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from wayside.operators import pages, snapshots
+from wayside.sources import sinks
 from wayside.streaming import recent_search_stream, start_log_ingest, start_page_ingest, start_snapshot_refresh
+from wayside.streaming.counts import CountStore
 
 LOG = "id long, user_id string, school_id string, event_type string, event_id string, target_station_id string, occurred_at timestamp_ntz, payload string"
 
@@ -45,27 +50,77 @@ def test_log_ingest_splits_rows(spark, tmp_path):
     assert bad[3] == "event belongs to another school" and bad[4] == "unknown target_station_id" and bad[5] == "user_id must not be empty"
 
 
-def test_snapshot_refresh_matches_batch(spark, tmp_path):
-    d, store = dims(spark), {}
-    rows = [(i, f"u{i % 2}", "a" if i % 3 else "b", "school_view", None, None, None, "{}") for i in range(10)]
-    log = tmp_path / "log"
-    for part in (rows[:4], rows[4:]):
-        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(str(log))
+class Died(Exception):
+    """A writer that ends on the way."""
 
-    def publish(name, df, batch_id):
-        path = str(tmp_path / f"{name}-{batch_id}")
-        df.write.parquet(path)
-        store[name] = path
 
-    def stored():
-        return spark.read.parquet(store["user_affinity_snapshots"]) if "user_affinity_snapshots" in store else None
+def refreshed(spark, tmp_path, publish, fold=2):
+    d = dims(spark)
+    affinity = str(tmp_path / "user_affinity_snapshots")
+    stored = lambda: sinks.current(spark, affinity) if sinks.marked(spark, affinity) else None
+    return start_snapshot_refresh(spark, str(tmp_path / "log"), LOG, str(tmp_path / "counts"), d, publish, stored, str(tmp_path / "cp"), max_batches=1, fold=fold)
 
-    start_snapshot_refresh(spark, str(log), LOG, d, publish, stored, str(tmp_path / "cp"), max_files=1).awaitTermination()
-    whole = spark.read.schema(LOG).parquet(str(log))
-    want = snapshots.user_affinity(whole)
-    assert sorted(map(tuple, spark.read.parquet(store["user_affinity_snapshots"]).collect())) == sorted(map(tuple, want.collect()))
-    want = snapshots.popularity(d["schools"](), d["links"](), whole)
-    assert sorted(map(tuple, spark.read.parquet(store["popularity_snapshots"]).collect())) == sorted(map(tuple, want.collect()))
+
+def equals_batch(spark, tmp_path, rows):
+    """The published snapshots are those of the whole log."""
+    d, whole = dims(spark), snapshots.log_counts(spark.createDataFrame(rows, LOG))
+    want = {
+        "user_affinity_snapshots": snapshots.user_affinity(whole),
+        "popularity_snapshots": snapshots.popularity(d["schools"](), d["links"](), whole),
+        "area_affinity_snapshots": snapshots.area_affinity(d["schools"](), d["links"](), whole),
+    }
+    for name, df in want.items():
+        assert sorted(map(tuple, sinks.current(spark, str(tmp_path / name)).select(*df.columns).collect())) == sorted(map(tuple, df.collect())), name
+
+
+def test_snapshot_refresh_matches_batch_after_late_rows_and_retries(spark, tmp_path):
+    kinds = ["school_view", "search_execute", "share", "event_view", "other"]
+    rows = [(i, f"u{i % 3}" if i % 7 else None, ("a", "b", None)[i % 3], kinds[i % 5], None, "s1" if i % 2 else None, None, "{}") for i in range(40)]
+    rows += [(99, "u0", "a", "apply_click", None, None, datetime(2020, 1, 1), "{}")]  # late by years
+    log = str(tmp_path / "log")
+    for n, at in enumerate(range(0, 41, 9)):
+        assert sinks.append_once(spark.createDataFrame(rows[at : at + 9], LOG), log, n)
+    assert not sinks.append_once(spark.createDataFrame(rows[:9], LOG), log, 0)  # a retried append adds nothing
+    spark.createDataFrame(rows[:5], LOG).write.parquet(f"{log}/batch=77")  # files of a writer that died before its mark
+    fails = {("popularity_snapshots", 1), ("user_affinity_snapshots", 3)}
+
+    def publish(name, df, number):
+        if (name, number) in fails:
+            fails.remove((name, number))
+            raise Died
+        sinks.publish(df, str(tmp_path / name), number)
+
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            refreshed(spark, tmp_path, publish).awaitTermination()
+    refreshed(spark, tmp_path, publish).awaitTermination()
+    assert not fails
+    equals_batch(spark, tmp_path, rows)
+    assert sinks.marked(spark, f"{tmp_path}/counts/base") and len(sinks.marked(spark, f"{tmp_path}/counts/batches")) == 5
+    # the writer comes back: its batch replaces the half done files and is counted once
+    more = [(200 + i, "u1", "b", "school_save", None, None, None, "{}") for i in range(3)]
+    assert sinks.append_once(spark.createDataFrame(more, LOG), log, 77)
+    refreshed(spark, tmp_path, publish).awaitTermination()
+    equals_batch(spark, tmp_path, rows + more)
+
+
+def test_counts_are_stored_once(spark, tmp_path):
+    store = CountStore(spark, str(tmp_path / "store"), fold=2)
+    assert store.read().count() == 0
+    part = lambda n: spark.createDataFrame([("u", "a", None, "share", n), (None, None, "s1", "search_execute", 1)], snapshots.COUNTS)
+    assert store.add(part(3), 0) and not store.add(part(3), 0) and not store.compact(0)
+    assert store.add(part(4), 1) and store.compact(1) and not store.compact(1)
+    assert not store.add(part(4), 1) and store.add(part(5), 2)
+    assert {r.event_type: r.n for r in store.read().collect()} == {"share": 12, "search_execute": 3}
+
+
+def test_one_scan_of_the_log_for_all_snapshots(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "a", "share", None, None, None, "{}")], LOG).write.parquet(str(tmp_path / "log"))
+    d = dims(spark)
+    made = snapshots.refresh_snapshots(d["schools"](), d["links"](), spark.read.parquet(str(tmp_path / "log")))
+    for df in made.values():  # what is left reads the counts only
+        assert "/log" not in "".join(df.inputFiles()) and df.count()
+    assert snapshots.log_counts(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
 def test_recent_search_keeps_newest_and_expires(spark, tmp_path):

@@ -118,7 +118,7 @@ query("user_affinity_snapshot", "SELECT * REPLACE (round(affinity_score, 9) AS a
 )
 def _affinity_subset(m):
     users = m.user_events.where("event_type = 'share'").select("user_id")
-    return snapshots.user_affinity(m.user_events, users).withColumn("affinity_score", F.round("affinity_score", 9))
+    return snapshots.user_affinity(m.log_counts, users).withColumn("affinity_score", F.round("affinity_score", 9))
 
 
 @query(

@@ -255,23 +255,30 @@ class Model:
             F.when(hint & (k % 3 != 0) & (k % 9 != 4), F.col("n_name")).alias("city_name"),
         )
 
+    @cached_property
+    def log_counts(self) -> DataFrame:
+        """One scan of the log, for all snapshots."""
+        from wayside.operators import snapshots
+
+        return settle(snapshots.log_counts(self.user_events))
+
     @cached_property
     def popularity(self) -> DataFrame:
         from wayside.operators import snapshots
 
-        return snapshots.popularity(self.schools, self.links, self.user_events)
+        return snapshots.popularity(self.schools, self.links, self.log_counts)
 
     @cached_property
     def area_affinity(self) -> DataFrame:
         from wayside.operators import snapshots
 
-        return snapshots.area_affinity(self.schools, self.links, self.user_events)
+        return snapshots.area_affinity(self.schools, self.links, self.log_counts)
 
     @cached_property
     def user_affinity(self) -> DataFrame:
         from wayside.operators import snapshots
 
-        return snapshots.user_affinity(self.user_events)
+        return snapshots.user_affinity(self.log_counts)
 
     @cached_property
     def tables(self):

@@ -1,8 +1,9 @@
 """Streams: log ingest, snapshot refresh, recent searches, page ingest.
 
 Every stream takes a checkpoint location, which on a cluster must be in shared
-storage.  Micro-batches are written with their batch id in the path, so a
-batch that is retried after a failure replaces its own output.
+storage.  Micro-batches are written under their number and then marked: a batch
+that is retried after a failure replaces what has no mark and adds nothing to
+what has one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from wayside import schemas
 from wayside.config import EVENT_WEIGHTS
 from wayside.operators import normalize, pages, snapshots
 from wayside.operators.context import SEARCH_WINDOW_HOURS
-from wayside.sources.sinks import upsert
+from wayside.session import settle
+from wayside.sources.sinks import append_once, commits, committed, upsert
+from wayside.streaming import counts
 
 ARRIVALS = "id long, " + schemas.LOG
 
@@ -54,8 +57,8 @@ def start_log_ingest(
         now = F.current_timestamp()
         batch = batch.persist()
         ok, bad = accept_log(batch, dims["schools"](), dims["events"](), dims["stations"](), F.convert_timezone(F.current_timezone(), F.lit("UTC"), now.cast("timestamp_ntz")))
-        ok.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        append_once(ok, sink, batch_id)
+        append_once(bad, rejects, batch_id)
         batch.unpersist()
 
     stream = _file_stream(spark, source, ARRIVALS, max_files)
@@ -66,36 +69,41 @@ def start_snapshot_refresh(
     spark: SparkSession,
     log_path: str,
     log_schema: str,
+    counts_path: str,
     dims: dict[str, Callable[[], DataFrame]],
     publish: Callable[[str, DataFrame, int], None],
     read_affinity: Callable[[], DataFrame | None],
     checkpoint: str,
-    max_files: int | None = None,
+    max_batches: int | None = None,
+    fold: int = counts.FOLD,
 ) -> StreamingQuery:
-    """Refresh the snapshots once per micro-batch of new log rows.
-
-    Popularity and area affinity are recomputed from the whole log, so late
-    rows count as any other.  User affinity is recomputed for the users of the
-    batch only and merged into the stored table.
+    """Refresh the snapshots once per micro-batch of newly complete log batches.
+
+    The stream follows the log's commit log, so a batch that its writer left half
+    done or wrote again is read once.  Its counts are added to the store at
+    ``counts_path`` under the number of the micro-batch; a retried micro-batch
+    adds nothing.  Popularity and area affinity come from the store's counts, in
+    which late rows count as any other.  User affinity is worked out for the
+    users of the micro-batch only and merged into the stored table.
     """
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        # a batch folder may be half written by its retry: the schema is fixed, the folders are whole
-        log = session.read.schema(log_schema).parquet(log_path)
+    store = counts.CountStore(spark, counts_path, fold)
+
+    def refresh(numbers: DataFrame, batch_id: int) -> None:
+        found = [r["number"] for r in numbers.select("number").distinct().collect()]  # a row per log batch
+        rows = committed(spark, log_path, log_schema, batches=found)
+        store.add(snapshots.log_counts(rows), batch_id)
+        store.compact(batch_id)
+        whole = settle(store.read())
         schools, links = dims["schools"](), dims["links"]()
-        publish("popularity_snapshots", snapshots.popularity(schools, links, log), batch_id)
-        publish("area_affinity_snapshots", snapshots.area_affinity(schools, links, log), batch_id)
-        users = batch.where(F.col("event_type").isin(*EVENT_WEIGHTS)).select("user_id").distinct()
-        fresh = snapshots.user_affinity(log, users)
+        publish("popularity_snapshots", snapshots.popularity(schools, links, whole), batch_id)
+        publish("area_affinity_snapshots", snapshots.area_affinity(schools, links, whole), batch_id)
+        users = rows.where(F.col("event_type").isin(*EVENT_WEIGHTS)).select("user_id").distinct()
+        fresh = snapshots.user_affinity(whole, users)
         stored = read_affinity()
         merged = fresh if stored is None else stored.join(users, "user_id", "left_anti").unionByName(fresh)
         publish("user_affinity_snapshots", merged, batch_id)
 
-    stream = spark.readStream.schema(log_schema)
-    if max_files:
-        stream = stream.option("maxFilesPerTrigger", max_files)
-    return stream.parquet(log_path).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return commits(spark, log_path, max_batches).writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 RECENT = "user_id string, station_id string, occurred_at timestamp, event string"
