@@ -230,8 +230,11 @@ query(
 )(lambda m: context.recent_sessions(_sessions(m), 50).select("session_id_hash", "evidence_count", "last_seen_at"))
 query(
     "context_shape_issues",
-    """SELECT request_id, context_source, CASE WHEN has_line THEN 'line+station' ELSE 'station' END AS shape FROM (
-        SELECT request_id, 'request_area' AS context_source, line_name IS NOT NULL AS has_line FROM x_ctx WHERE context_source = 'request_station' AND NOT has_area)""",
+    """SELECT request_id, context_source, shape FROM (
+        SELECT request_id, CASE context_source WHEN 'request_station' THEN 'request_area' ELSE context_source END AS context_source,
+            concat_ws('+', CASE WHEN has_area THEN 'area' END, CASE WHEN line_name IS NOT NULL THEN 'line' END, CASE WHEN ctx_station_id IS NOT NULL THEN 'station' END) AS shape FROM x_ctx)
+       WHERE NOT CASE context_source WHEN 'request_area' THEN shape = 'area' WHEN 'request_line' THEN shape IN ('line', 'area+line') WHEN 'user_profile_area' THEN shape <> ''
+            WHEN 'recent_search_context' THEN shape = 'line+station' ELSE shape = '' END""",
 )(
     lambda m: context.context_shape_issues(
         m.batch.context.withColumn("context_source", F.when(F.col("context_source") == "request_station", F.lit("request_area")).otherwise(F.col("context_source")))

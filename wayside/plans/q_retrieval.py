@@ -116,7 +116,7 @@ query(
 
 
 def _slice(m):
-    """Every row of the slice of all candidates, as JSON; the SQL counts the rows of the first bucket."""
+    """Every row of the slice of all candidates, as JSON; held against plain Python in the tests."""
     links = m.batch.candidates.select("school_id", "station_id").distinct()
     dims = {
         "schools": m.schools, "stations": m.stations, "events": m.events, "popularity": m.popularity,
@@ -129,15 +129,7 @@ def _slice(m):
     return out
 
 
-query(
-    "candidate_slice",
-    """WITH c AS (SELECT DISTINCT school_id, station_id FROM x_candidates WHERE bucket = 0)
-       SELECT 'events' AS part, count(*) AS rows FROM m_events WHERE is_active AND school_id IN (SELECT school_id FROM c)
-       UNION ALL SELECT 'schools', count(DISTINCT school_id) FROM c UNION ALL SELECT 'stations', count(DISTINCT station_id) FROM c
-       UNION ALL SELECT 'area_affinity', count(DISTINCT s.area) FROM c JOIN m_schools s ON s.id = c.school_id
-       UNION ALL SELECT 'user_affinity', count(*) FROM m_user_affinity WHERE school_id IN (SELECT school_id FROM c)
-       UNION ALL SELECT 'popularity', count(DISTINCT school_id) FROM c""",
-)(_slice)
+query("candidate_slice")(_slice)
 query(
     "retrieval_parity",
     f"""SELECT request_id, count(a_school) AS left_rows, count(b_school) AS right_rows, bool_and(a_school IS NOT DISTINCT FROM b_school AND a_station IS NOT DISTINCT FROM b_station) AS same_order
