@@ -434,6 +434,12 @@ extra_tables(
 )
 
 
+query("latest_crawl_runs", "SELECT id, manifest, status FROM x_runs ORDER BY id DESC LIMIT 10")(lambda m: quality.latest(crawl_runs(m), [_C("id").desc()], 10))
+query("latest_parse_reports", "SELECT crawl_run_id, logical_name, level, code FROM x_logs ORDER BY id DESC LIMIT 10")(
+    lambda m: quality.latest(crawl_reports(m), [_C("id").desc()], 10).select("crawl_run_id", "logical_name", "level", "code")
+)
+
+
 def crawl_targets(m):
     return crawl_runs(m).select("manifest").distinct().withColumn("logical_name", F.explode(F.array(*[F.lit(f"t{i}") for i in range(4)])))
 

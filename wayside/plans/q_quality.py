@@ -25,6 +25,7 @@ def import_runs(m):
 def import_reports(m):
     li = m.source("lineitem")
     return li.select(
+        (_C("l_orderkey") * 100_000_000 + _C("l_partkey") * 1000 + _C("l_suppkey") * 8 + _C("l_linenumber")).alias("id"),
         _C("l_orderkey").alias("import_run_id"),
         F.when(_C("l_returnflag") == "A", "warn").when(_C("l_returnflag") == "R", "error").otherwise("info").alias("level"),
         F.when(_C("l_linestatus") == "O", "event_csv_deactivated_stale_rows").otherwise("event_csv_imported").alias("code"),
@@ -70,7 +71,7 @@ extra_tables(
     m_import_runs="""SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'event-csv' ELSE 'feed-' || substr(o_orderpriority, 1, 1) END AS source_id,
             CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
             CAST(floor(o_totalprice / 10000.0e0) AS BIGINT) AS total_rows, o_orderdate AS started_at FROM orders""",
-    m_import_reports="""SELECT l_orderkey AS import_run_id, CASE l_returnflag WHEN 'A' THEN 'warn' WHEN 'R' THEN 'error' ELSE 'info' END AS level,
+    m_import_reports="""SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey * 8 + l_linenumber AS id, l_orderkey AS import_run_id, CASE l_returnflag WHEN 'A' THEN 'warn' WHEN 'R' THEN 'error' ELSE 'info' END AS level,
             CASE WHEN l_linestatus = 'O' THEN 'event_csv_deactivated_stale_rows' ELSE 'event_csv_imported' END AS code,
             CAST(l_quantity AS BIGINT) AS row_count, l_shipdate AS created_at FROM lineitem""",
     m_jobs="""SELECT o_orderkey AS id, o_orderpriority AS job_type, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'queued' END AS status,
@@ -196,19 +197,19 @@ query(
 query(
     "latest_import_reports",
     """SELECT p.import_run_id, p.level, p.code, p.row_count FROM m_import_reports p JOIN m_import_runs r ON r.id = p.import_run_id
-       WHERE r.source_id = 'event-csv' ORDER BY p.import_run_id DESC, p.created_at DESC, p.level, p.code, p.row_count LIMIT 10""",
+       WHERE r.source_id = 'event-csv' ORDER BY p.id DESC LIMIT 10""",
 )(
     lambda m: quality.latest(
         import_reports(m).join(import_runs(m).where("source_id = 'event-csv'").select(_C("id").alias("import_run_id")), "import_run_id", "left_semi"),
-        [_C("import_run_id").desc(), _C("created_at").desc(), _C("level"), _C("code"), _C("row_count")],
+        [_C("id").desc()],
         10,
     ).select("import_run_id", "level", "code", "row_count")
 )
 query(
     "latest_event_rows",
-    """SELECT id, school_id, title, event_category, is_active, source_key FROM m_events WHERE source_type = 'event_csv' ORDER BY starts_at DESC NULLS LAST, id LIMIT 20""",
+    """SELECT id, school_id, title, event_category, is_active, source_key FROM m_events WHERE source_type = 'event_csv' ORDER BY updated_at DESC, id LIMIT 20""",
 )(
-    lambda m: quality.latest(m.events.where("source_type = 'event_csv'"), [_C("starts_at").desc_nulls_last(), _C("id")], 20).select(
+    lambda m: quality.latest(m.events.where("source_type = 'event_csv'"), [_C("updated_at").desc(), _C("id")], 20).select(
         "id", "school_id", "title", "event_category", "is_active", "source_key"
     )
 )
