@@ -662,7 +662,12 @@ def describe_items(
 def describe_results(
     picks: DataFrame, items: DataFrame, base: DataFrame, visible: DataFrame, classes: DataFrame, plans: DataFrame, cfg: RankingConfig = DEFAULT_CONFIG
 ) -> DataFrame:
-    """One header per class: stage, counts, plan trace and explanation."""
+    """One header per class: stage, counts, plan trace and explanation.
+
+    ``effective_limit`` is the request's limit after its bounds were applied;
+    ``candidates_cut`` says that the pool filled the retrieval limit, so that the
+    counts are those of a pool that may have been cut.
+    """
     c = F.col
     skips = [f"skipped_{n}" for n in ("same_school", "same_group", "kind_school", "kind_event")]
     summary = diversity_summary(base, visible, picks, cfg)
@@ -685,7 +690,8 @@ def describe_results(
     return rows.select(
         "class_id", "fallback_stage", text.alias("explanation"), "score_breakdown", counts.alias("candidate_counts"),
         F.lit(cfg.minimum_candidates).alias("minimum_candidate_count"), "stop_reason", "area_context_usable", "stages",
-        "selected_count", *skips, F.lit(cfg.profile_version).alias("profile_version"), F.lit(cfg.algorithm_version).alias("algorithm_version"),
+        "selected_count", *skips, c("limit").alias("effective_limit"), (F.array_max("counts") >= cfg.candidate_limit).alias("candidates_cut"),
+        F.lit(cfg.profile_version).alias("profile_version"), F.lit(cfg.algorithm_version).alias("algorithm_version"),
     )
 
 

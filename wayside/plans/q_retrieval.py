@@ -295,3 +295,7 @@ query(
         "request_id", F.col("selected_count").cast("long").alias("selected_count"), "skipped_same_school", "skipped_same_group", "skipped_kind_school", "skipped_kind_event"
     )
 )
+query(
+    "answer_limits",
+    """SELECT DISTINCT c.request_id, CAST(c.cap AS INTEGER) AS effective_limit, p.n5 >= 256 AS candidates_cut FROM x_caps c JOIN x_plan p ON p.request_id = c.request_id""",
+)(lambda m: m.batch.headers().select("request_id", "effective_limit", "candidates_cut"))
