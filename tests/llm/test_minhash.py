@@ -59,7 +59,7 @@ def corpus(seed):
 @pytest.mark.parametrize("common", [64, 4])
 def test_components_equal_all_pairs(spark, monkeypatch, common):
     monkeypatch.setattr(minhash, "COMMON", common)
-    monkeypatch.setattr(minhash, "BLOCK", 256 if common == 64 else 5)
+    monkeypatch.setattr(minhash, "LEADERS", 256 if common == 64 else 2)
     rows = corpus(common)
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, rep string, n_shingles int")
     assert sorted((tuple(r) for r in minhash.near_documents(df).collect()), key=str) == brute(rows)
@@ -78,3 +78,17 @@ def test_union_estimate():
 
 def test_no_rows(spark):
     assert minhash.near_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_passages_with_more_or_less_of_their_own(spark):
+    """Chains of documents that share a passage: links that only other than the smallest document of a list have."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passages = [word(40) for _ in range(6)]
+    texts = [" ".join(word(int(rng.integers(0, 16))) + passages[0] + word(int(rng.integers(0, 10)))) for _ in range(90)]
+    for _ in range(160):  # several passages in one order, of which some are left out
+        out = [p for p in passages if rng.random() < 0.8]
+        texts.append(" ".join(sum(out, []) + word(int(rng.integers(0, 30)))))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    got = minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)

@@ -10,6 +10,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+#: Bytes of an Arrow batch, unless the session names another bound; Spark's own default is 64 MiB.
+BATCH_BYTES = 8 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session now cuts Arrow batches at few bytes, so that long rows need no more memory than short ones."""
+    conf = df.sparkSession.conf
+    if _BOUND not in conf.getAll:
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return df
+
+
 def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the columns ``added`` (a schema string) and without ``drop``.
 
@@ -29,4 +42,4 @@ def with_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], di
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *types.names])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)

@@ -13,8 +13,9 @@ out of that second turn, and documents that hold such a value use their whole
 sketch instead of its beginning.  Documents that consist mostly of such values
 meet by a prefix of their full sets in order of rarity: a linked pair shares a
 value of both prefixes, and a document with more than a quarter of text of its
-own is in no common list.  Lists are compared by blocks on full sets, and a
-block returns a forest of its links, never all pairs.
+own is in no common list.  There the first turn is repeated, with new leaders
+and contracted components, and a row leaves its list when what follows in its
+order cannot suffice for a link, until no list is open.
 
 A linked pair is missed only if its sketches say so against the odds: two sets
 with likeness 0.75 share no value among the first 16 with probability below
@@ -23,15 +24,16 @@ with likeness 0.75 share no value among the first 16 with probability below
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayside.llm.arrow import with_columns
-from wayside.llm.components import classes, components, join_class_results, replace_ids
+from wayside.llm.arrow import bounded, with_columns
+from wayside.llm.components import SALTS, classes, components, join_class_results, replace_ids
 from wayside.llm.words import mix, shingle_sets
 from wayside.llm.storage import stored
 
@@ -47,10 +49,8 @@ ESTIMATE = 0.45
 COMMON = 64
 #: A document is bulk if this part of its first values is common; its full set is then compared.
 BULK = 0.4
-#: Bulk documents that are compared at once within a list.
-BLOCK = 256
-#: Values that are compared at once within a block.
-COLUMNS = 16_384
+#: Leaders of a list in one turn at most.
+LEADERS = 256
 
 _FULL = np.iinfo(np.uint64).max
 
@@ -100,7 +100,7 @@ def promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             likely = union_estimate(_filled(batch.column("_sa").to_pylist()), _filled(batch.column("_sb").to_pylist())) >= ESTIMATE
             yield batch.select(["a", "b"]).filter(pa.array(likely))
 
-    return both.mapInArrow(keep, "a long, b long")
+    return bounded(both).mapInArrow(keep, "a long, b long")
 
 
 def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -122,20 +122,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, type=pa.bool_()))
 
-    return both.select("a", "b", "_ta", "_tb").mapInArrow(keep, "a long, b long")
+    return bounded(both).select("a", "b", "_ta", "_tb").mapInArrow(keep, "a long, b long")
 
 
 def postings(reps: DataFrame, first: int) -> DataFrame:
-    """``value, class_id, n_shingles`` of the first values of each sketch."""
+    """``value, class_id, n_shingles, begins`` of the first values of each sketch; ``begins`` is true of its first FIRST."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.frombuffer(v, dtype=np.int64)[:first] for v in batch.column("sketch").to_pylist()]
             index = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
             flat = pa.array(np.concatenate(values) if values else np.empty(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([flat, batch.column("class_id").take(index), batch.column("n_shingles").take(index)], names=["value", "class_id", "n_shingles"])
+            begins = pa.array(np.concatenate([np.arange(len(v)) < FIRST for v in values]) if values else np.empty(0, dtype=bool))
+            columns = [flat, batch.column("class_id").take(index), batch.column("n_shingles").take(index), begins]
+            yield pa.RecordBatch.from_arrays(columns, names=["value", "class_id", "n_shingles", "begins"])
 
-    return reps.select("class_id", "n_shingles", "sketch").mapInArrow(spread, "value long, class_id long, n_shingles long")
+    return reps.select("class_id", "n_shingles", "sketch").mapInArrow(spread, "value long, class_id long, n_shingles long, begins boolean")
 
 
 _SIZES_FIT = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(PERCENT)
@@ -143,7 +145,7 @@ _SIZES_FIT = "100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b)".format(PERCENT)
 
 def led_lists(posted: DataFrame) -> DataFrame:
     """Postings of lists with several members, with the list's leader ``a`` (and ``n_a``) and its ``size``; a long list is dealt out."""
-    salted = posted.withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(16)).cast("int"))
+    salted = posted.withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("value", "_salt").agg(F.min(F.struct(F.xxhash64("class_id"), "class_id", "n_shingles")).alias("first"), F.count("*").alias("n"))
     lists = parts.groupBy("value").agg(F.min("first").alias("first"), F.sum("n").alias("size"), F.collect_list("_salt").alias("_salts")).where("size > 1")
     back = lists.select("value", F.col("first.class_id").alias("a"), F.col("first.n_shingles").alias("n_a"), "size", F.explode("_salts").alias("_salt"))
@@ -165,13 +167,15 @@ def apart_pairs(reps: DataFrame, posted: DataFrame, crowded: DataFrame, known: D
     # whole sketches of documents that hold a common value, beginnings of all others
     mixed = posted.join(crowded, "class_id", "left_anti").unionByName(postings(inner, KEPT))
     mixed = stored(mixed.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
-    lists = mixed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    open_lists = stored(lists.where("low <> high").select("value", "size"))
-    rare = mixed.join(open_lists.where(F.col("size") <= COMMON), "value").select("value", "class_id", "n_shingles", "component")
-    left = rare.select("value", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("ca"))
-    right = rare.select("value", F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("cb"))
-    met = left.join(right, "value").where("a < b AND ca <> cb").where(_SIZES_FIT).select("a", "b").distinct()
-    return met
+    lists = mixed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.count_if("begins").alias("first"))
+    # a value is common if more than COMMON documents begin with it; in longer lists of other values every member meets those that begin with it
+    open_lists = stored(lists.where("low <> high").select("value", "size", (F.col("first") <= COMMON).alias("few")))
+    listed = mixed.join(open_lists, "value")
+    rare = listed.where("few").select("value", "class_id", "n_shingles", "component", (F.col("begins") | (F.col("size") <= COMMON)).alias("meets"))
+    left = rare.where("meets").select("value", F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("ca"))
+    right = rare.select("value", F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("cb"), "meets")
+    met = left.join(right, "value").where("ca <> cb AND (a < b OR (a <> b AND NOT meets))").where(_SIZES_FIT)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -183,65 +187,76 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return with_columns(texts, lambda: work, "values array<long>", drop=("text",))
 
 
-def bulk_links(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect the bulk documents as all their links do; ``known`` has ``class_id, component``.
+def prefixes(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """``value, class_id, n, rest, component``: the rarest values of each full set, and how many of its values are not before this one.
 
-    A set's prefix is as long as it takes for sets of the likeness of a link to
-    share a value of both prefixes, whatever the order; rare values come first.
+    A prefix is as long as it takes for two sets of the likeness of a link to
+    share a value of both; rare values come first in all of them.
     """
     sets = stored(sets)
-    value = sets.select("class_id", F.size("values").alias("n"), F.explode("values").alias("value"))
-    salted = value.groupBy("value", F.pmod(F.xxhash64("class_id"), F.lit(16)).alias("_salt")).agg(F.count("*").alias("held"))
+    value = sets.select("class_id", F.size("values").alias("n"), F.explode("values").alias("value")).withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)))
+    salted = value.groupBy("value", "_salt").agg(F.count("*").alias("held"))
     held = salted.groupBy("value").agg(F.sum("held").alias("held"), F.collect_list("_salt").alias("_salts"))
     dealt = held.where("held > 1").select("value", "held", F.explode("_salts").alias("_salt"))
-    shared = value.withColumn("_salt", F.pmod(F.xxhash64("class_id"), F.lit(16))).join(dealt, ["value", "_salt"])
     # values that no other set holds come first and take their places in the prefix
+    own = value.join(dealt, ["value", "_salt"]).groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("v"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    own = shared.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("v"))
     places = F.greatest(F.lit(0), length - (F.col("n") - F.size("v"))).cast("int")
-    first = stored(own.select("class_id", F.explode(F.slice("v", 1, places)["value"]).alias("value")).join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
-    lists = first.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = first.join(lists.where("low <> high").select("value", blocks.alias("blocks")), "value").withColumn("mine", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = placed.withColumn("other", other).select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class_id", "component")
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids, mine, i = group.column("class_id").to_numpy(), group.column("mine").to_numpy(), group.column("i")[0].as_py()
-        root = {int(c): int(c) for c in np.unique(group.column("component").to_numpy())}
-        component = group.column("component").to_pylist()
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        values = [np.asarray(v.values) for v in group.column("values").combine_chunks()]
-        same = i == group.column("j")[0].as_py()
-        n = np.array([len(v) for v in values])
-        found, index, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-        of, column = np.repeat(np.arange(len(ids)), n), np.where(times > 1, np.cumsum(times > 1) - 1, -1)[index]
-        shared = np.zeros((len(ids), len(ids)), dtype=np.float32)
-        for at in range(0, int((times > 1).sum()), COLUMNS):  # some columns at a time, so long sets need no more memory
-            now = (column >= at) & (column < at + COLUMNS)
-            held = np.zeros((len(ids), COLUMNS), dtype=np.float32)
-            held[of[now], column[now] - at] = 1
-            shared += held @ held.T
-        linked = 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)
-        if not same:
-            linked &= (mine == i)[:, None] & (mine != i)[None, :]
-        out = []
-        for x, y in zip(*np.nonzero(np.triu(linked, 1) if same else linked), strict=True):
-            p, q = find(component[x]), find(component[y])
-            if p != q:
-                root[p] = q
-                out.append((int(ids[x]), int(ids[y])))
-        made = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": made[:, 0], "b": made[:, 1]})
-
-    dealt_sets = met.join(sets, "class_id")
-    return dealt_sets.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    placed = own.select("class_id", "n", F.size("v").alias("_shared"), F.posexplode(F.slice("v", 1, places)["value"]).alias("_at", "value"))
+    first = placed.select("value", "class_id", "n", (F.col("_shared") - F.col("_at")).alias("rest"))
+    return first.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+
+def _reach(n: str, other: str, rest: str) -> Column:
+    """Whether two sets of these sizes can be linked if the first value that they share leaves ``rest`` values at most."""
+    return PERCENT * (F.col(n) + F.col(other)) <= (100 + PERCENT) * F.col(rest)
+
+
+def led_turn(first: DataFrame, leaders: int) -> DataFrame:
+    """Rows of ``first`` that may still have a partner in their list, with ``led``: up to ``leaders`` smallest sets of the list's parts.
+
+    Of two linked sets the list of the first value that both hold decides, so a
+    row is kept only if what it has from there on suffices for the smallest set
+    of its list, and the smaller set of a pair must reach its own size.  Lists
+    within one component are closed.
+    """
+    salt = F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")
+    rows = first.withColumn("_salt", salt).withColumn("_part", F.pmod(F.xxhash64(F.lit(leaders), "class_id"), F.lit(leaders)).cast("int"))
+    able = F.when(_reach("n", "n", "rest"), F.struct("n", "class_id", "rest", "component"))
+    dealt = rows.groupBy("value", "_salt", "_part").agg(F.min(able).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+    # a part of a list has one leader, whatever the salt
+    parts = dealt.groupBy("value", "_part").agg(F.min("lead").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("_salt").alias("_salts"))
+    lists = parts.groupBy("value").agg(
+        F.collect_list("lead").alias("led"), F.min("lead.n").alias("_least"), F.min("low").alias("low"), F.max("high").alias("high"), F.array_distinct(F.flatten(F.collect_list("_salts"))).alias("_salts")
+    )
+    open_lists = lists.where("low <> high AND _least IS NOT NULL").select("value", "led", "_least", F.explode("_salts").alias("_salt"))
+    return rows.join(open_lists, ["value", "_salt"]).where(_reach("n", "_least", "rest")).select("value", "class_id", "n", "rest", "component", "led")
+
+
+def bulk_links(sets: DataFrame, known: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect the bulk documents as all their links do; ``known`` has ``class_id, component``.
+
+    In each turn every row of a list meets the list's leaders, whose own rows
+    then leave the list, as all their pairs there are decided; components are
+    contracted and rows without possible partners go.  A turn is linear in the
+    rows.  Turns go on until no list is open; those that last have more leaders.
+    """
+    first = stored(prefixes(sets, known))
+    links: DataFrame | None = None
+    for turn in itertools.count():
+        led = stored(led_turn(first, min(4**turn, LEADERS)))
+        if led.isEmpty():
+            break
+        met = led.select("class_id", "n", "rest", "component", F.explode("led").alias("lead")).select("*", F.col("lead.class_id").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.rest").alias("rest_a"), F.col("lead.component").alias("ca"))
+        met = met.withColumnsRenamed({"class_id": "b", "n": "n_b", "component": "cb"}).where("a <> b AND ca <> cb").where(_SIZES_FIT)
+        met = met.where(_reach("n_a", "n_b", "rest") & _reach("n_a", "n_b", "rest_a"))
+        pairs = stored(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("ca", "cb")).alias("c")))
+        found = stored(verified(promising(pairs, reps), texts))
+        links = found if links is None else links.unionByName(found)
+        first = led.where(~F.exists("led", lambda x: x["class_id"] == F.col("class_id"))).select("value", "class_id", "n", "rest", "component")
+        if not found.isEmpty():
+            first = replace_ids(first, "component", components(pairs.join(found, ["a", "b"]).select(F.col("c.ca").alias("a"), F.col("c.cb").alias("b"))))
+    return links if links is not None else known.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).limit(0)
 
 
 def near_documents(docs: DataFrame, text_hash: bool = False) -> DataFrame:
@@ -268,7 +283,7 @@ def near_documents(docs: DataFrame, text_hash: bool = False) -> DataFrame:
     links = stored(verified(pairs, texts))
     known = components(links).withColumnRenamed("id", "class_id")
     more = stored(promising(apart_pairs(reps, posted, crowded, known), reps))
-    links = links.unionByName(verified(more, texts_of(docs, reps, ends(more)))).unionByName(bulk_links(full_sets(texts.join(bulk, "class_id", "left_semi")), known))
+    links = links.unionByName(verified(more, texts_of(docs, reps, ends(more)))).unionByName(bulk_links(full_sets(texts.join(bulk, "class_id", "left_semi")), known, reps, texts))
 
     connected = components(links).withColumnRenamed("id", "class_id")
     placed = stored(reps.select("class_id", "rep", "members").join(connected, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
