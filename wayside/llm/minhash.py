@@ -244,7 +244,7 @@ def bulk_links(sets: DataFrame, known: DataFrame, reps: DataFrame, texts: DataFr
     first = stored(prefixes(sets, known))
     links: DataFrame | None = None
     for turn in itertools.count():
-        led = stored(led_turn(first, min(4**turn, LEADERS)))
+        led = stored(led_turn(first, min(16**turn, LEADERS)))
         if led.isEmpty():
             break
         met = led.select("class_id", "n", "rest", "component", F.explode("led").alias("lead")).select("*", F.col("lead.class_id").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.rest").alias("rest_a"), F.col("lead.component").alias("ca"))
