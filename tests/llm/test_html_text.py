@@ -1,3 +1,4 @@
+import time
 import re
 import time
 
@@ -119,3 +120,19 @@ def test_articles_of_the_pages_table(spark):
         article = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", r["html"], re.DOTALL)[1]
         want = " ".join(html.unescape(re.sub(r"</?(?:b|i)>", "", re.sub(r"</?(?:p|h1|br|div)[^>]*>", " ", article))).split())
         assert ht.main_text(r["html"], TREE) == want
+
+
+def test_articles_keep_short_blocks_before_links_and_lists_of_links():
+    tree = ht.train()
+    page = (
+        "<nav><a>Home</a></nav><article><h1>Title</h1><p>The committee met on Monday and agreed.</p><p><a>The whole text of the decision</a></p>"
+        "<p>It comes into force in spring.</p><h2>Sources and notes</h2><ul><li><a>First report</a></li><li><a>Second report</a></li></ul></article><footer>Imprint</footer>"
+    )
+    want = "Title The committee met on Monday and agreed. The whole text of the decision It comes into force in spring. Sources and notes First report Second report"
+    assert ht.main_text(page, tree) == want
+
+
+def test_stray_end_tags_take_linear_time():
+    started = time.time()
+    assert ht.blocks("<div>" * 30000 + "</span>" * 30000 + "text")[0][0] == "text"
+    assert time.time() - started < 5

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,10 +43,12 @@ LABELLED = [
     # headings of an article
     (8, 0.00, 7, 0.00, 130, 0.00, INSIDE, 1),
     (4, 0.00, 6, 1.00, 3, 0.00, INSIDE, 1),
-    # link lists within an article
-    (3, 1.00, 60, 0.00, 3, 1.00, INSIDE, 0),
-    (2, 1.00, 2, 1.00, 2, 1.00, INSIDE, 0),
-    (4, 1.00, 3, 1.00, 9, 0.00, INSIDE, 0),
+    # short blocks before links, and lists of links, are text of the article, too
+    (8, 0.00, 60, 0.00, 4, 1.00, INSIDE, 1),
+    (3, 0.00, 40, 0.00, 2, 1.00, INSIDE, 1),
+    (3, 1.00, 60, 0.00, 3, 1.00, INSIDE, 1),
+    (2, 1.00, 2, 1.00, 2, 1.00, INSIDE, 1),
+    (4, 1.00, 3, 1.00, 9, 0.00, INSIDE, 1),
     # a linked word that stands alone in running text
     (1, 1.00, 40, 0.00, 50, 0.00, INSIDE, 1),
     (3, 1.00, 25, 0.00, 30, 0.00, INSIDE, 1),
@@ -237,6 +240,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """(text, words, linked words, place) of the page's text blocks in order."""
     done: list[tuple[str, int, int, float]] = []
     stack: list[Open] = []
+    opened: Counter[str] = Counter()  # of the stack, so that a stray end tag costs nothing
     current = Block(UNKNOWN)
     in_link = False
 
@@ -256,7 +260,9 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     def imply(tag: str | None) -> None:
         """Closes the open ``tag`` whose end tag is left out."""
         if tag and stack and tag in stack[-1].closable:
-            del stack[stack[-1].closable[tag] :]
+            depth = stack[-1].closable[tag]
+            opened.subtract(x.tag for x in stack[depth:])
+            del stack[depth:]
 
     at = 0
     for start, end, tag, ending, rest in _tokens(page):
@@ -278,9 +284,12 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                 # a list item ends within its list, a cell within its table
                 ends = {t: d for t, d in around.closable.items() if tag in _PASSED[t]} | ({tag: len(stack)} if tag in _PASSED else {})
                 stack.append(Open(tag, *_hint(tag, rest, around.place, around.apart), ends))
-            elif any(x.tag == tag for x in stack):
-                while stack.pop().tag != tag:
-                    pass
+                opened[tag] += 1
+            elif opened[tag]:
+                gone = ""
+                while gone != tag:
+                    gone = stack.pop().tag
+                    opened[gone] -= 1
         if tag in _BLOCK_TAGS:
             current.place = stack[-1].place if stack else UNKNOWN
     add(page[at:])
