@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from wayside.llm.arrow import bounded, with_columns
 from wayside.llm.components import SALTS, classes, components, join_class_results, replace_ids
+from wayside.llm.rows import unwrapped, wrapped
 from wayside.llm.words import mix, shingle_sets
 from wayside.llm.storage import stored
 
@@ -305,8 +306,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component of ``docs``: that with the smallest id; texts without shingles and rows without an id stay.
 
     Of rows that repeat one stays; different texts under the smallest id of a component all stay.
+    Further columns are kept, whatever their names; an empty table gives an empty one.
     """
-    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = near_documents(docs.select("doc_id", "text"), text_hash=True)
+    names = ("doc_id", "text")
+    keyed = wrapped(docs, *names).withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = near_documents(docs.select(*names), text_hash=True)
     kept = found.where("kept").select("doc_id", "_text").distinct()
-    return keyed.join(kept, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"]).unionByName(keyed.where("doc_id IS NULL")).select(*docs.columns)
+    one = keyed.join(kept, ["doc_id", "_text"]).dropDuplicates(["doc_id", "_text"])
+    return unwrapped(one.unionByName(keyed.where("doc_id IS NULL")), docs.columns, names)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayside.llm.arrow import bounded
 from wayside.session import settle
 
 CAPACITY = 4096
@@ -126,7 +127,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str | None = None, capacity: int =
             columns = [doc_id, pa.array(made[1].astype(np.int32)), *(pa.array(c) for c in made[2:])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(texts).mapInArrow(cut, PIECE_SCHEMA)
 
 
 def plan_places(
