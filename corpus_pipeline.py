@@ -7,44 +7,11 @@ to the shared checkpoint folder and reads it again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wayside.llm import language, minhash, mixing, packing, secrets
+from wayside.llm.stages import LEAST_KNOWN, drop_near_duplicates, identify_language, mix_domains, pack_sequences, redact_secrets
 from wayside.llm.storage import stored
 
-#: A text is rejected if its language knows a smaller share of its n-grams.
-LEAST_KNOWN = 0.1
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; without letters, or with n-grams that no language knows, they go.  A missing ``lang`` is filled in."""
-    found = language.identify(docs, language.learn(docs))
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_KNOWN))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.deduplicate(docs)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
-    found = secrets.scan(docs).withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
-    return found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
-
-
-def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, so that the domains' expected tokens match the targets."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixed = mixing.mix(docs, mixing.domains_of(labels), mixing.TARGETS).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 4096 tokens."""
-    return packing.pack(packing.tokenize(docs))
-
+__all__ = ["LEAST_KNOWN", "ORACLE_SQL", "STAGES", "run"]
 
 STAGES = [
     ("language", identify_language),
