@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from wayside import schemas
 from wayside.functions.text import WHITE_SPACE, ascii_lower, non_blank, trimmed, truthy
 from wayside.operators.normalize import absolute_url, clean_text, slash_date
+from wayside.operators.selectors import missing_labels
 from wayside.sources.sinks import upsert
 
 # fixed values
@@ -39,6 +40,29 @@ HTML_SHAPES = {
     ],
 }
 
+#: Labels and selectors of the shapes with nested elements (fixed values).
+SELECTOR_SHAPES = {
+    "html_keio_event_cards": [("card_link", "a[href]"), ("card_title", "h2"), ("card_date", "div[class*='_cardEventDate_']")],
+    "html_school_tour_blocks": [
+        ("school_tour_schedule", "section.explan1 dl"),
+        ("school_tour_date", "section.explan1 .date"),
+        ("external_event_rows", "section.explan3 .tbody > .table"),
+    ],
+    "html_qua_sections": [
+        ("container", "div.qua-container"),
+        ("section_heading", "h4.qua-wysiwyg-content"),
+        ("dated_item", "div.qua-field-list li.qua-field-list__item"),
+    ],
+    "html_session_tables": [("page_title", "h3[class*='c-pagetitle02']"), ("session_table", "table.c-table02")],
+    "html_monthly_dl_pairs": [
+        ("schedule_box", "div.schedule_box"),
+        ("month_heading", "h3.ttl"),
+        ("schedule_dt", "dl.text_box > dt"),
+        ("schedule_dd", "dl.text_box > dd"),
+        ("event_name", "p.event_name"),
+    ],
+}
+
 SEED = [
     "title", "starts_at", "seed_school_id", "seed_category", "seed_open_day", "seed_featured", "seed_weight", "seed_tags", "detail_url", "details",
 ]
@@ -205,35 +229,69 @@ def latest_fetched(runs: DataFrame) -> DataFrame:
 # --- shape and extraction -------------------------------------------------
 
 
-def check_shape(pages: DataFrame, shape: str) -> DataFrame:
-    """Add ``matched`` and ``summary``: does a page look as its parser expects?"""
-    note = F.coalesce(F.concat(F.lit(" content_type="), "content_type"), F.lit(""))
-    if shape == "json_feed":
-        v = F.try_parse_json("html")
-        kind = F.schema_of_variant(v)
-        rows = F.try_variant_get(v, "$", "array<variant>")
-
-        def has(key: str) -> Column:
-            return F.exists(rows, lambda r: F.try_variant_get(r, f"$.{key}", "variant").isNotNull())
-
-        known = has(FEED_KEYS[0])
-        for key in FEED_KEYS[1:]:
-            known = known | has(key)
-        problem = F.coalesce(
-            F.when(v.isNull(), F.lit("failed to parse JSON feed")),
-            F.when(~kind.startswith("ARRAY"), F.lit("expected a top-level JSON array")),
-            F.when(F.size(rows) == 0, F.lit("expected a non-empty JSON array")),
-            F.when(~truthy(known), F.lit("JSON feed is present but missing expected event keys (pageTitle/url/eventStartDate)")),
-        )
-        good = F.concat(F.lit("matched JSON feed rows="), F.size(rows).cast("string"))
-        return pages.withColumns({"matched": problem.isNull(), "summary": F.concat(F.coalesce(problem, good), note)})
-    labels = HTML_SHAPES[shape]
-    missing = F.array_compact(F.array(*[F.when(~_visible("html").rlike(p), F.lit(label)) for label, p in labels]))
-    names = ", ".join(label for label, _ in labels)
+def _feed_verdict() -> tuple[Column, Column]:
+    """Whether ``html`` is a JSON feed, and why."""
+    v = F.try_parse_json("html")
+    kind = F.schema_of_variant(v)
+    rows = F.try_variant_get(v, "$", "array<variant>")
+
+    def has(key: str) -> Column:
+        return F.exists(rows, lambda r: F.try_variant_get(r, f"$.{key}", "variant").isNotNull())
+
+    known = has(FEED_KEYS[0])
+    for key in FEED_KEYS[1:]:
+        known = known | has(key)
+    problem = F.coalesce(
+        F.when(v.isNull(), F.lit("failed to parse JSON feed")),
+        F.when(~kind.startswith("ARRAY"), F.lit("expected a top-level JSON array")),
+        F.when(F.size(rows) == 0, F.lit("expected a non-empty JSON array")),
+        F.when(~truthy(known), F.lit("JSON feed is present but missing expected event keys (pageTitle/url/eventStartDate)")),
+    )
+    return problem.isNull(), F.coalesce(problem, F.concat(F.lit("matched JSON feed rows="), F.size(rows).cast("string")))
+
+
+def _markup_verdict(shape: str, missing: Column) -> tuple[Column, Column]:
+    """Whether none of a shape's labels is missing, and which are."""
+    names = ", ".join(label for label, _ in HTML_SHAPES.get(shape) or SELECTOR_SHAPES[shape])
     text = F.when(F.size(missing) == 0, F.lit(f"matched selectors [{names}]")).otherwise(
         F.concat(F.lit("missing selectors ["), F.array_join(missing, ", "), F.lit("]"))
     )
-    return pages.withColumns({"matched": F.size(missing) == 0, "summary": F.concat(text, note)})
+    return F.size(missing) == 0, text
+
+
+def check_page_shapes(pages: DataFrame) -> DataFrame:
+    """Add ``matched`` and ``summary``: does a page look as the parser of its ``expected_shape`` expects?
+
+    Shapes that take one tag are patterns; those with nested elements share one
+    walk over the page's tags.  A null page lacks everything, an unknown or null
+    shape is not matched.
+    """
+    shape, body = F.col("expected_shape"), F.coalesce("html", F.lit(""))
+    walked = pages.withColumn("_missing", missing_labels(body, shape, SELECTOR_SHAPES))
+    matched, summary = _feed_verdict()
+    verdicts = {"json_feed": (matched, summary)}
+    for name, labels in HTML_SHAPES.items():
+        verdicts[name] = _markup_verdict(name, F.array_compact(F.array(*[F.when(~_visible(body).rlike(p), F.lit(label)) for label, p in labels])))
+    for name in SELECTOR_SHAPES:
+        verdicts[name] = _markup_verdict(name, F.col("_missing"))
+    fits, text = F.lit(False), F.lit("unknown expected shape")
+    for name, (matched, summary) in verdicts.items():
+        fits, text = F.when(shape == name, matched).otherwise(fits), F.when(shape == name, summary).otherwise(text)
+    note = F.coalesce(F.concat(F.lit(" content_type="), "content_type"), F.lit(""))
+    return walked.withColumns({"matched": fits, "summary": F.concat(text, F.when(shape.isin(*verdicts), note).otherwise(F.lit("")))}).drop("_missing")
+
+
+def check_shape(pages: DataFrame, shape: str) -> DataFrame:
+    """As ``check_page_shapes``, with one shape for all pages."""
+    note = F.coalesce(F.concat(F.lit(" content_type="), "content_type"), F.lit(""))
+    if shape == "json_feed":
+        matched, summary = _feed_verdict()
+    elif shape in HTML_SHAPES:
+        body = _visible(F.coalesce("html", F.lit("")))
+        matched, summary = _markup_verdict(shape, F.array_compact(F.array(*[F.when(~body.rlike(p), F.lit(label)) for label, p in HTML_SHAPES[shape]])))
+    else:
+        matched, summary = _markup_verdict(shape, missing_labels(F.coalesce("html", F.lit("")), F.lit(shape), SELECTOR_SHAPES))
+    return pages.withColumns({"matched": matched, "summary": F.concat(summary, note)})
 
 
 @F.pandas_udf(T.StringType())

@@ -156,6 +156,75 @@ query(
 )
 
 
+#: Per shape and label: markup that has it, and markup that only looks like it.
+SHAPE_PIECES = {
+    "html_keio_event_cards": [
+        ("card_link", '<a href="/x">x</a>', "<a name=x>x</a>"),
+        ("card_title", "<h2>x</h2>", "<!-- <h2>x</h2> -->"),
+        ("card_date", '<div class="a _cardEventDate_9 b">x</div>', '<div data-class="_cardEventDate_">x</div>'),
+    ],
+    "html_school_tour_blocks": [
+        ("school_tour_schedule", '<section class="explan1"><div><dl><dt>x</dl></div></section>', '<section class="explan1"></section><dl><dt>x</dl>'),
+        ("school_tour_date", '<section class="a explan1"><p class="date">x</section>', '<section class="explan12"><p class="date">x</section>'),
+        (
+            "external_event_rows",
+            '<section class="explan3"><div class="tbody"><div class="table">x</div></div></section>',
+            '<section class="explan3"><div class="tbody"><i><b class="table">x</b></i></div></section>',
+        ),
+    ],
+    "html_qua_sections": [
+        ("container", '<div class="qua-container">x</div>', '<p class="qua-container">x</p>'),
+        ("section_heading", '<h4 class="qua-wysiwyg-content">x</h4>', '<h3 class="qua-wysiwyg-content">x</h3>'),
+        (
+            "dated_item",
+            '<div class="qua-field-list"><ul><li>x<li class="qua-field-list__item">x</ul></div>',
+            '<div class="qua-field-list"></div><ul><li class="qua-field-list__item">x</ul>',
+        ),
+    ],
+    "html_session_tables": [
+        ("page_title", '<h3 class="m_c-pagetitle02_x">x</h3>', """<script>"<h3 class='c-pagetitle02'>"</script>"""),
+        ("session_table", '<table class="c-table02"><tr><td>x</table>', '<table class="c-table021"><tr><td>x</table>'),
+    ],
+    "html_monthly_dl_pairs": [
+        ("schedule_box", '<div class="schedule_box">x</div>', '<div id="schedule_box">x</div>'),
+        ("month_heading", '<h3 class="ttl">x</h3>', '<h3>ttl</h3>'),
+        ("schedule_dt", '<dl class="text_box"><dt>x</dl>', '<dl class="text_box"><div><dt>x</div></dl>'),
+        ("schedule_dd", '<dl class="text_box"><p>x</p><dd>x</dl>', '<dl class="text_box"><p>x</p><dl><dd>x</dl></dl>'),
+        ("event_name", '<p class="event_name">x', '<span class="event_name">x</span>'),
+    ],
+}
+_EVERY = [3, 7, 11, 13, 17]
+
+
+def shaped_pages(m):
+    """A page per part in one of the shapes, each label absent from every third, seventh, ... page."""
+    k, shapes = _C("p_partkey"), list(SHAPE_PIECES)
+    body = F.lit(None)
+    for i, pieces in enumerate(SHAPE_PIECES.values()):
+        each = [F.when(k % n == 0, F.lit(absent)).otherwise(F.lit(present)) for n, (_, present, absent) in zip(_EVERY, pieces, strict=False)]
+        body = F.when(k % 5 == i, F.concat(*each)).otherwise(body)
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), "p_name", F.lit("</title></head><body>"), body, F.lit("</body></html>"))
+    return m.source("part").select(
+        k.alias("page_id"), F.element_at(F.array(*[F.lit(s) for s in shapes]), (k % 5 + 1).cast("int")).alias("expected_shape"), page.alias("html"),
+        F.when(k % 2 == 0, F.lit("text/html")).alias("content_type"),
+    )
+
+
+def _shapes_sql() -> str:
+    shape = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SHAPE_PIECES))
+    names = " ".join(f"WHEN {i} THEN '{', '.join(label for label, _, _ in pieces)}'" for i, pieces in enumerate(SHAPE_PIECES.values()))
+    lacks = " ".join(
+        f"WHEN {i} THEN concat_ws(', ', {', '.join(f'CASE WHEN p_partkey % {n} = 0 THEN {chr(39)}{label}{chr(39)} END' for n, (label, _, _) in zip(_EVERY, pieces, strict=False))})"
+        for i, pieces in enumerate(SHAPE_PIECES.values())
+    )
+    return f"""SELECT page_id, expected_shape, lacks = '' AS matched,
+        CASE WHEN lacks = '' THEN 'matched selectors [' || names ELSE 'missing selectors [' || lacks END || ']' || CASE WHEN page_id % 2 = 0 THEN ' content_type=text/html' ELSE '' END AS summary
+        FROM (SELECT p_partkey AS page_id, CASE p_partkey % 5 {shape} END AS expected_shape, CASE p_partkey % 5 {names} END AS names, CASE p_partkey % 5 {lacks} END AS lacks FROM part)"""
+
+
+query("page_shapes", _shapes_sql())(lambda m: pages.check_page_shapes(shaped_pages(m)).select("page_id", "expected_shape", "matched", "summary"))
+
+
 def faulty_seeds(m):
     """Each page's seed twice more: for a target that is not there, and without a title."""
     seeds = pages.extract_heading(captured(m))[0].where("trim(title) <> ''")
