@@ -354,13 +354,13 @@ query(
             WHEN k = 3 THEN 'checksum mismatch' WHEN k = 4 THEN 'row_count mismatch' END AS reason
        FROM (SELECT 'f/' || page_id AS path, page_id % 40 AS k, true AS listed, page_id % 40 <> 5 AS found,
                 CASE WHEN page_id % 40 = 1 THEN count(*) FILTER (WHERE page_id % 40 = 1) OVER () ELSE 1 END AS dup FROM pages
+             UNION ALL SELECT 'moved/' || page_id, 0, false, true, 1 FROM pages WHERE page_id % 40 = 5
              UNION ALL SELECT 'extra', 0, false, true, 1)""",
 )(
     lambda m: audit.verify_bundle(
         _manifest(m),
         m.source("pages")
-        .where("page_id % 40 <> 5")
-        .select(F.concat(F.lit("f/"), _s("page_id")).alias("path"), F.sha2("html", 256).alias("checksum_sha256"), F.length("html").cast("long").alias("row_count"))
+        .select(F.concat(F.when(F.col("page_id") % 40 == 5, "moved/").otherwise("f/"), _s("page_id")).alias("path"), F.sha2("html", 256).alias("checksum_sha256"), F.length("html").cast("long").alias("row_count"))
         .unionByName(m.source("region").agg(F.lit("extra").alias("path"), F.lit("x").alias("checksum_sha256"), F.count(F.lit(1)).alias("row_count"))),
     ).select("path", "reason")
 )

@@ -108,11 +108,16 @@ query(
        SELECT request_id, school_id, station_id, position, 'index' AS backend FROM ranked WHERE request_id IN (SELECT request_id FROM ok)
        UNION ALL SELECT request_id, school_id, station_id, CAST(position AS INTEGER), 'sql' FROM x_candidates WHERE request_id NOT IN (SELECT request_id FROM ok)""",
 )(lambda m: _retrieved(m).select("request_id", "school_id", "station_id", "position", "backend"))
+def _renamed(documents, prefix):
+    """All documents, and each once more under another id."""
+    return documents.unionByName(documents.withColumn("document_id", F.concat(F.lit(prefix), "document_id")))
+
+
 query(
     "projection_diff",
-    """SELECT document_id, 'upsert' AS action FROM x_projection WHERE distance_meters % 3 <> 0
-       UNION ALL SELECT document_id, 'delete' FROM x_projection WHERE distance_meters % 3 = 0""",
-)(lambda m: retrieval.projection_diff(_projection(m), _projection(m).where("distance_meters % 3 <> 0")))
+    """SELECT document_id, 'upsert' AS action FROM x_projection UNION ALL SELECT 'new:' || document_id, 'upsert' FROM x_projection
+       UNION ALL SELECT 'gone:' || document_id, 'delete' FROM x_projection""",
+)(lambda m: retrieval.projection_diff(_renamed(_projection(m), "gone:"), _renamed(_projection(m), "new:")))
 
 
 def _slice(m):
