@@ -111,3 +111,23 @@ def test_mixed_table(spark):
         for r in pages.check_shape(table.where(F.col("expected_shape") == shape), shape).collect():
             assert got[r["id"]] == (r["matched"], r["summary"])
     assert pages.check_page_shapes(table.limit(0)).collect() == []
+
+
+def test_cards_in_linear_time():
+    def walk(n):
+        parser = pages._Cards()
+        start = time.perf_counter()
+        parser.feed("<div>" * n + "<article data-crawl-event><h2>a <b>b</b></h2>c</span><h3>d</h3></article>" * n + "</span>" * n)
+        parser.close()
+        return parser.cards, time.perf_counter() - start
+
+    cards, short = walk(1_000)
+    assert len(cards) == 1_000 and all("".join(c["title"]) == "a b" for c in cards)
+    assert walk(10_000)[1] < 40 * max(short, 0.002)
+
+
+def test_nested_cards_keep_their_titles():
+    parser = pages._Cards()
+    parser.feed('<article data-crawl-event><time datetime=1><div class="crawl-event-card"><h2>in</div><i data-placement-tag=home>x</i><h3>out</h3></article><h2>no')
+    parser.close()
+    assert [("".join(c["title"]), c["time"], c["tags"]) for c in parser.cards] == [("in", "1", ["home"]), ("in", None, [])]

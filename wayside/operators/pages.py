@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from wayside import schemas
 from wayside.functions.text import WHITE_SPACE, ascii_lower, non_blank, trimmed, truthy
 from wayside.operators.normalize import absolute_url, clean_text, slash_date
-from wayside.operators.selectors import missing_labels
+from wayside.operators.selectors import VOID, missing_labels
 from wayside.sources.sinks import upsert
 
 # fixed values
@@ -326,19 +326,20 @@ def _seeds(rows: DataFrame, **given: Column) -> DataFrame:
 class _Cards(HTMLParser):
     """Collects the event cards of one page."""
 
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, dict | None]] = []
+        self.places: dict[str, list[int]] = {}  # where each tag is open
+        self.inside: list[dict] = []  # the open cards
+        self.reading: list[dict] = []  # cards whose title is open, the innermost last
         self.cards: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
         attr = {k: v or "" for k, v in attrs}
-        inner = [card for _, card in self.open if card is not None]
-        for card in inner:
+        for card in self.inside:
             if tag in ("h2", "h3") and card["title"] is None:
                 card["title"], card["depth"] = [], len(self.open)
+                self.reading.append(card)
             if tag == "time" and "datetime" in attr and card["time"] is None:
                 card["time"] = attr["datetime"]
             if "data-placement-tag" in attr:
@@ -347,22 +348,25 @@ class _Cards(HTMLParser):
         if (tag == "article" and "data-crawl-event" in attr) or "crawl-event-card" in attr.get("class", "").split():
             card = {"attr": attr, "title": None, "depth": None, "time": None, "tags": []}
             self.cards.append(card)
-        if tag not in self.VOID:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, card))
+            if card is not None:
+                self.inside.append(card)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-        for card in self.cards:
-            if card["depth"] is not None and len(self.open) <= card["depth"]:
-                card["depth"] = None
+        at = self.places[tag][-1] if self.places.get(tag) else len(self.open)
+        while len(self.open) > at:
+            closed, card = self.open.pop()
+            self.places[closed].pop()
+            if card is not None:
+                self.inside.pop()
+        while self.reading and len(self.open) <= self.reading[-1]["depth"]:
+            self.reading.pop()
 
     def handle_data(self, data):
-        for card in self.cards:
-            if card["depth"] is not None:
-                card["title"].append(data)
+        for card in self.reading:
+            card["title"].append(data)
 
 
 CARD_ROWS = (
