@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayside.llm import minhash
 
@@ -92,3 +93,13 @@ def test_common_passages_with_more_or_less_of_their_own(spark):
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     got = minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_only_possible_partners_are_multiplied_out(spark):
+    """In one list with many leaders a row meets those that its size, what both have left and the components allow."""
+    sets = [(7, i, n, rest, c) for i, (n, rest, c) in enumerate([(100, 100, 0), (90, 90, 1), (95, 40, 2), (60, 60, 3), (100, 100, 0), (20, 20, 4), (22, 22, 5)])]
+    led = spark.createDataFrame(sets, "value long, class_id long, n int, rest int, component long")
+    leads = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).cast("long").alias("class_id"), F.lit(rest).alias("rest"), F.lit(c).cast("long").alias("component")) for _, i, n, rest, c in sets])
+    met = minhash.met_leaders(led.withColumn("led", leads))
+    assert sorted((r.a, r.b) for r in met.collect()) == sorted((a, b) for a, b in [(0, 1), (1, 4), (5, 6)] for a, b in [(a, b), (b, a)])
+    assert "explode(filter(" in met._jdf.queryExecution().optimizedPlan().toString()

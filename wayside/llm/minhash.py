@@ -213,6 +213,13 @@ def _reach(n: str, other: str, rest: str) -> Column:
     return PERCENT * (F.col(n) + F.col(other)) <= (100 + PERCENT) * F.col(rest)
 
 
+def _partner(lead: Column) -> Column:
+    """Whether a row of a list and this leader of it are in different components and can be linked by their sizes and by what both have left."""
+    small, large = F.least("n", lead["n"]), F.greatest("n", lead["n"])
+    reached = PERCENT * (F.col("n") + lead["n"]) <= (100 + PERCENT) * F.least("rest", lead["rest"])
+    return (lead["component"] != F.col("component")) & (lead["class_id"] != F.col("class_id")) & (100 * small >= PERCENT * large) & reached
+
+
 def led_turn(first: DataFrame, leaders: int) -> DataFrame:
     """Rows of ``first`` that may still have a partner in their list, with ``led``: up to ``leaders`` smallest sets of the list's parts.
 
@@ -234,6 +241,15 @@ def led_turn(first: DataFrame, leaders: int) -> DataFrame:
     return rows.join(open_lists, ["value", "_salt"]).where(_reach("n", "_least", "rest")).select("value", "class_id", "n", "rest", "component", "led")
 
 
+def met_leaders(led: DataFrame) -> DataFrame:
+    """``a, b`` and their components ``ca, cb`` for each row ``b`` of ``led_turn`` and each leader ``a`` of its list that can be its partner.
+
+    Most leaders cannot; they are left out before rows are multiplied out.
+    """
+    met = led.select("class_id", "n", "rest", "component", F.explode(F.filter("led", _partner)).alias("lead"))
+    return met.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b"), F.col("lead.component").alias("ca"), F.col("component").alias("cb"))
+
+
 def bulk_links(sets: DataFrame, known: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect the bulk documents as all their links do; ``known`` has ``class_id, component``.
 
@@ -248,10 +264,7 @@ def bulk_links(sets: DataFrame, known: DataFrame, reps: DataFrame, texts: DataFr
         led = stored(led_turn(first, min(16**turn, LEADERS)))
         if led.isEmpty():
             break
-        met = led.select("class_id", "n", "rest", "component", F.explode("led").alias("lead")).select("*", F.col("lead.class_id").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.rest").alias("rest_a"), F.col("lead.component").alias("ca"))
-        met = met.withColumnsRenamed({"class_id": "b", "n": "n_b", "component": "cb"}).where("a <> b AND ca <> cb").where(_SIZES_FIT)
-        met = met.where(_reach("n_a", "n_b", "rest") & _reach("n_a", "n_b", "rest_a"))
-        pairs = stored(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("ca", "cb")).alias("c")))
+        pairs = stored(met_leaders(led).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("ca", "cb")).alias("c")))
         found = stored(verified(promising(pairs, reps), texts))
         links = found if links is None else links.unionByName(found)
         first = led.where(~F.exists("led", lambda x: x["class_id"] == F.col("class_id"))).select("value", "class_id", "n", "rest", "component")
