@@ -82,3 +82,24 @@ def test_requests_share_their_lists(spark, monkeypatch):
         assert retrieval.context_candidates(many, enriched).select("sig").distinct().count() == times
         sums.append(sum(seen))
     assert sums[0] == sums[1] > 0
+
+
+def test_signatures_are_dealt_out_before_their_links(spark):
+    """Links with the signature's columns are those of the candidates, and no shuffle follows their multiplication."""
+    enriched, sigs = links(spark, 60).cache(), signatures(spark, 20).cache()
+    found = retrieval.candidate_lists(sigs, enriched)
+    got = retrieval.signature_links(found, sigs)
+    key = ["sig", *retrieval.LINK]
+    assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, retrieval.candidate_rows(found).select(*key).collect()))
+    assert set(got.columns) == {*sigs.columns, *retrieval.LINK}
+    inside = retrieval.signature_links(found._replace(outside=found.outside.limit(0)), sigs)
+    plan = inside._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan[: plan.index("Generate explode(links")]
+
+
+def test_requests_of_a_signature_come_in_parts(spark):
+    sigs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "sig string, x int")
+    rows = [("a", f"r{i}") for i in range(50)] + [("a", "r1"), ("b", None), ("b", "z"), ("d", "y")]
+    got = retrieval.with_requests(sigs, spark.createDataFrame(rows, "sig string, request_id string"), most=10).collect()
+    assert sorted(((g.sig, g.x, r.request_id) for g in got for r in g.requests), key=str) == sorted(((s, {"a": 1, "b": 2}[s], r) for s, r in rows if s != "d"), key=str)
+    assert len([g for g in got if g.sig == "a"]) > 2
