@@ -52,6 +52,8 @@ COMMON = 64
 BULK = 0.4
 #: Leaders of a list in one turn at most.
 LEADERS = 256
+#: Rows of a list that meet in one task, as long as SALTS parts suffice.
+PER_PART = 1000
 
 _FULL = np.iinfo(np.uint64).max
 
@@ -189,7 +191,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """``value, class_id, n, rest, component``: the rarest values of each full set, and how many of its values are not before this one.
+    """``value, class_id, n, rest, held, component``: the rarest values of each full set, how many of its values are not before this one, and how many sets hold it.
 
     A prefix is as long as it takes for two sets of the likeness of a link to
     share a value of both; rare values come first in all of them.
@@ -203,8 +205,8 @@ def prefixes(sets: DataFrame, known: DataFrame) -> DataFrame:
     own = value.join(dealt, ["value", "_salt"]).groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("v"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     places = F.greatest(F.lit(0), length - (F.col("n") - F.size("v"))).cast("int")
-    placed = own.select("class_id", "n", F.size("v").alias("_shared"), F.posexplode(F.slice("v", 1, places)["value"]).alias("_at", "value"))
-    first = placed.select("value", "class_id", "n", (F.col("_shared") - F.col("_at")).alias("rest"))
+    placed = own.select("class_id", "n", F.size("v").alias("_shared"), F.posexplode(F.slice("v", 1, places)).alias("_at", "_v"))
+    first = placed.select("_v.value", "class_id", "n", (F.col("_shared") - F.col("_at")).alias("rest"), "_v.held")
     return first.join(known, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
 
 
@@ -221,14 +223,16 @@ def _partner(lead: Column) -> Column:
 
 
 def led_turn(first: DataFrame, leaders: int) -> DataFrame:
-    """Rows of ``first`` that may still have a partner in their list, with ``led``: up to ``leaders`` smallest sets of the list's parts.
+    """Rows of ``first`` that may still have a partner in their list, with ``led``: those of the list's up to ``leaders`` leaders, the smallest
+    sets of its parts, that can be partners of the row; ``leads`` says that the row is a leader itself.
 
     Of two linked sets the list of the first value that both hold decides, so a
     row is kept only if what it has from there on suffices for the smallest set
     of its list, and the smaller set of a pair must reach its own size.  Lists
-    within one component are closed.
+    within one component are closed.  Leaders go to the parts of their list only,
+    and a row keeps no leader that cannot be its partner.
     """
-    salt = F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("class_id"), F.least(F.lit(SALTS), F.ceil(F.col("held") / PER_PART))).cast("int")
     rows = first.withColumn("_salt", salt).withColumn("_part", F.pmod(F.xxhash64(F.lit(leaders), "class_id"), F.lit(leaders)).cast("int"))
     able = F.when(_reach("n", "n", "rest"), F.struct("n", "class_id", "rest", "component"))
     dealt = rows.groupBy("value", "_salt", "_part").agg(F.min(able).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -238,14 +242,13 @@ def led_turn(first: DataFrame, leaders: int) -> DataFrame:
         F.collect_list("lead").alias("led"), F.min("lead.n").alias("_least"), F.min("low").alias("low"), F.max("high").alias("high"), F.array_distinct(F.flatten(F.collect_list("_salts"))).alias("_salts")
     )
     open_lists = lists.where("low <> high AND _least IS NOT NULL").select("value", "led", "_least", F.explode("_salts").alias("_salt"))
-    return rows.join(open_lists, ["value", "_salt"]).where(_reach("n", "_least", "rest")).select("value", "class_id", "n", "rest", "component", "led")
+    leads = F.exists("led", lambda x: x["class_id"] == F.col("class_id"))
+    met = rows.join(open_lists, ["value", "_salt"]).where(_reach("n", "_least", "rest"))
+    return met.select("value", "class_id", "n", "rest", "held", "component", leads.alias("leads"), F.filter("led", _partner).alias("led"))
 
 
 def met_leaders(led: DataFrame) -> DataFrame:
-    """``a, b`` and their components ``ca, cb`` for each row ``b`` of ``led_turn`` and each leader ``a`` of its list that can be its partner.
-
-    Most leaders cannot; they are left out before rows are multiplied out.
-    """
+    """``a, b`` and their components ``ca, cb`` for each row ``b`` of ``led_turn`` and each leader ``a`` of its list that can be its partner."""
     met = led.select("class_id", "n", "rest", "component", F.explode(F.filter("led", _partner)).alias("lead"))
     return met.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b"), F.col("lead.component").alias("ca"), F.col("component").alias("cb"))
 
@@ -267,7 +270,7 @@ def bulk_links(sets: DataFrame, known: DataFrame, reps: DataFrame, texts: DataFr
         pairs = stored(met_leaders(led).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("ca", "cb")).alias("c")))
         found = stored(verified(promising(pairs, reps), texts))
         links = found if links is None else links.unionByName(found)
-        first = led.where(~F.exists("led", lambda x: x["class_id"] == F.col("class_id"))).select("value", "class_id", "n", "rest", "component")
+        first = led.where("NOT leads").select("value", "class_id", "n", "rest", "held", "component")
         if not found.isEmpty():
             first = replace_ids(first, "component", components(pairs.join(found, ["a", "b"]).select(F.col("c.ca").alias("a"), F.col("c.cb").alias("b"))))
     return links if links is not None else known.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).limit(0)
