@@ -62,3 +62,15 @@ def test_ellipsoid_is_geodesic(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0), (35.0, 139.0, 35.0, 139.0)], "from_latitude double, from_longitude double, to_latitude double, to_longitude double")
     got = [r.distance_m for r in links.with_distance(df).collect()]
     assert abs(got[0] - 110574.389) < 0.1 and abs(got[1] - 111319.491) < 0.1 and got[2] == 0.0
+
+
+def test_within_join_works_out_each_pair_of_spots_once(spark):
+    """Rows at one coordinate are multiplied after the distances; rows without a coordinate are near nothing."""
+    a, b = frame(spark, [(35.0, 139.0)] * 30 + [(35.001, 139.0)], "a"), frame(spark, [(35.0, 139.001)] * 40 + [(36.0, 139.0)], "b")
+    none = spark.createDataFrame([("none", None, 139.0)], "a string, latitude double, longitude double")
+    near = links.within_join(a.unionByName(none), b, 1500.0, "sphere")
+    assert near.columns == ["a", "from_latitude", "from_longitude", "b", "to_latitude", "to_longitude", "distance_m"]
+    rows = near.collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == 31 * 40
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [latitude") + plan.count("Aggregate [from_latitude") + plan.count("Aggregate [to_latitude") == 2
