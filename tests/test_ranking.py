@@ -183,3 +183,34 @@ def test_catalog_merge_rules(spark):
     assert labels["open_day_bonus"] == "Open" and labels["new"] == "New" and len(labels) == 15
     why = {(r.feature, r.reason) for r in bad.collect()}
     assert why == {("walking_minutes", "stable reason_code changed"), ("dup", "duplicate feature"), ("thief", "duplicate reason_code"), ("x", "empty reason_code")}
+
+
+def test_contenders_are_few_and_hold_every_pick(spark):
+    """Rows are cut before events multiply them, with ties, schools without a group and one in two groups; the picks are those of all rows."""
+    rng, cfg = random.Random(11), RankingConfig()
+    events = [(f"s{s}", "search", f"e{s}_{e}", rng.choice([None, 0.6]), None, rng.choice([None, 0.1, 0.2])) for s in range(0, 120, 2) for e in range(3)]
+    groups = {s: None if s % 13 == 0 else f"g{s % 7}" for s in range(120)}
+    classes, base, want = [(f"c{i}", "search", limit) for i, limit in enumerate((1, 3, 5, 20))], [], {}
+    boost = {"school": 0.35, "event": 0.1}
+    for cid, _, limit in classes:
+        items = []
+        for s in range(120):
+            for st in ("x", "y"):
+                score = rng.choice([0.5, 1.0, 1.1, 1.1 + 1e-16, 1.3, 2.0])
+                base.append((cid, f"s{s}", groups[s], st, "search", score))
+                one = {"school": f"s{s}", "group": groups[s] or f"own{s}", "station": st}
+                items.append({"kind": "school", "id": f"s{s}", "score": score + boost["school"], **one})
+                items += [{"kind": "event", "id": e, "score": (((score + boost["event"]) + (o or 0.0)) + (f or 0.0)) + (p or 0.0), **one} for school, _, e, o, f, p in events if school == f"s{s}"]
+        caps = {"school": min(max(-(-limit * 8 // 10), 1), limit), "event": min(max(-(-limit // 2), 1), limit)}
+        want[cid] = greedy(items, limit, caps, 1, 2)[0]
+    b = spark.createDataFrame(base, "class_id string, school_id string, group_id string, station_id string, placement string, base_score double")
+    v = spark.createDataFrame(events, "school_id string, placement string, event_id string, open_day_bonus double, featured_event_bonus double, event_priority_boost double")
+    c = spark.createDataFrame(classes, "class_id string, placement string, limit int")
+    picks = ranking.pick_items(b, c, v, cfg)
+    assert {r.class_id: [(p.content_kind, p.content_id) for p in r.picked] for r in picks.collect()} == want
+    spread_out = b.withColumn("base_score", F.xxhash64("school_id", "class_id") / F.lit(2.0**63))
+    two = spread_out.where("school_id = 's2'").withColumn("group_id", F.lit("other"))
+    few = ranking.contenders(spread_out.unionByName(two), ranking.leading_events(v, cfg), c, cfg)
+    kept = {r.class_id: r["count"] for r in few.groupBy("class_id").count().collect()}
+    assert kept["c0"] <= 8 and kept["c1"] <= 2 * 2 * 7 + 4 and all(n < 240 for n in kept.values())
+    assert few.where("school_id = 's2'").select("class_id", "group_id").distinct().count() == 8
