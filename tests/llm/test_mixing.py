@@ -61,3 +61,24 @@ def test_targets_on_documents(spark):
     total = rows.agg(F.sum("n_tokens")).first()[0]
     for d, share in mixing.TARGETS.items():
         assert abs(rows.agg(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}"))).first()[0] / total - share) < 0.01
+
+
+def test_statistics_in_two_passes_count_every_character(spark):
+    """Symbols and capitals by one pass over the text and one over what it leaves, equal to a count in plain Python."""
+    import string
+
+    texts = [None, "", "A", "~!-]^[\\`{}", "É\u00dfZ z\U0001f600Q.\n\tX", string.printable * 3, "plain", "ÀÁ" * 50 + "AZ@[`{/:09az"]
+    rows = mixing.with_statistics(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    for r in rows.collect():
+        text = r["text"] or ""
+        symbols, capitals = (sum(ch in kind for ch in text) for kind in (string.punctuation, string.ascii_uppercase))
+        assert r["f_symbols"] == 1 - (len(text) - symbols) / (len(text) + 1) and r["f_capitals"] == 1 - (len(text) - capitals) / (len(text) + 1)
+    assert "translate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_are_looked_up_by_domain(spark):
+    model = mixing.SoftMembership(["a", "b", "c"])
+    model.words = {"a": ["x", "y"], "b": ["y", "z"], "c": []}
+    docs = spark.createDataFrame([(0, ["x", "y", "q"]), (1, ["z"]), (2, []), (3, ["", "q"])], "i int, _words array<string>")
+    got = {r["i"]: [round(np.expm1(r[f"f_marks{k}"])) for k in range(3)] for r in model.with_features(docs).collect()}
+    assert got == {0: [2, 1, 0], 1: [0, 1, 0], 2: [0, 0, 0], 3: [0, 0, 0]}

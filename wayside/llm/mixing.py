@@ -16,6 +16,7 @@ Everything on the data is a DataFrame expression.
 from __future__ import annotations
 
 import math
+import re
 import string
 
 import numpy as np
@@ -37,6 +38,8 @@ CLOSE = 1e-4
 RIDGE = 1e-4
 
 _STATISTICS = ["f_words", "f_length", "f_distinct", "f_symbols", "f_capitals"]
+#: Characters other than ASCII capitals, and other than those and ``string.punctuation``.
+_NO_CAPITALS, _NO_MARKS = "[^A-Z]+", f"[^A-Z{re.escape(string.punctuation)}]+"
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -44,17 +47,19 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.withColumn("_text", text).withColumn("_raw", F.array_remove(F.split("_text", r"\s+"), ""))
     counted = split.withColumn("n_tokens", F.size("_raw").cast("long")).withColumn("_chars", F.length("_text") + 1)
-    left = lambda characters: F.length(F.translate("_text", characters, ""))
+    # one pass over the text for both kinds of characters, a second one over what it leaves
+    counted = counted.withColumn("_marks", F.regexp_replace("_text", _NO_MARKS, "")).withColumn("_capitals", F.length(F.regexp_replace("_marks", _NO_CAPITALS, "")))
+    left = lambda found: F.length("_text") - found
     return counted.withColumns(
         {
             "_words": F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+")),
             "f_words": F.log1p("n_tokens"),
             "f_length": F.col("_chars") / (F.col("n_tokens") + 1),
             "f_distinct": F.size(F.array_distinct("_raw")) / (F.col("n_tokens") + 1),
-            "f_symbols": 1 - left(string.punctuation) / F.col("_chars"),
-            "f_capitals": 1 - left(string.ascii_uppercase) / F.col("_chars"),
+            "f_symbols": 1 - left(F.length("_marks") - F.col("_capitals")) / F.col("_chars"),
+            "f_capitals": 1 - left(F.col("_capitals")) / F.col("_chars"),
         }
-    ).drop("_text", "_raw", "_chars")
+    ).drop("_text", "_raw", "_chars", "_marks", "_capitals")
 
 
 class SoftMembership:
@@ -71,8 +76,12 @@ class SoftMembership:
         return [*_STATISTICS, *(f"f_marks{i}" for i in range(len(self.domains)))]
 
     def with_features(self, docs: DataFrame) -> DataFrame:
-        marks = {f"f_marks{i}": F.log1p(F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in self.words[d]]).cast("array<string>")))) for i, d in enumerate(self.domains)}
-        return docs.withColumns(marks).drop("_words")
+        """``docs`` with the counts of the words that mark each domain; every word is looked up once in all of them, the few found ones by domain."""
+        every = sorted({w for d in self.domains for w in self.words[d]})
+        found = docs.withColumn("_found", F.filter("_words", lambda w: w.isin(every)))
+        size_of = lambda words: F.size(F.filter("_found", lambda w: w.isin(words)))
+        marks = {f"f_marks{i}": F.log1p(size_of(self.words[d])) for i, d in enumerate(self.domains)}
+        return found.withColumns(marks).drop("_words", "_found")
 
     def posteriors(self, docs: DataFrame, names: list[str]) -> DataFrame:
         """``docs`` with one column per domain; they sum to 1."""
