@@ -103,3 +103,12 @@ def test_requests_of_a_signature_come_in_parts(spark):
     got = retrieval.with_requests(sigs, spark.createDataFrame(rows, "sig string, request_id string"), most=10).collect()
     assert sorted(((g.sig, g.x, r.request_id) for g in got for r in g.requests), key=str) == sorted(((s, {"a": 1, "b": 2}[s], r) for s, r in rows if s != "d"), key=str)
     assert len([g for g in got if g.sig == "a"]) > 2
+
+
+def test_retrieved_links_come_once(spark):
+    """Each link once, however many lists name it, and those beyond every flag, too."""
+    lists = spark.createDataFrame([(f"g{i}", [0, 1, 2 + i % 3]) for i in range(200)] + [("g", []), ("h", None)], "sig string, links array<long>")
+    numbered = spark.createDataFrame([(i, f"s{i // 2}", f"t{i // 2}", i) for i in range(8)], "_n long, school_id string, station_id string, distance_meters int")
+    outside = spark.createDataFrame([("g", "s0", "t0"), ("g", "s9", "t9"), ("h", "s9", "t9")], "sig string, school_id string, station_id string")
+    got = sorted(map(tuple, retrieval.retrieved_links(retrieval.Candidates(lists, numbered, outside)).collect()))
+    assert got == [("s0", "t0"), ("s1", "t1"), ("s2", "t2"), ("s9", "t9")]
