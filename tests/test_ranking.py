@@ -214,3 +214,34 @@ def test_contenders_are_few_and_hold_every_pick(spark):
     kept = {r.class_id: r["count"] for r in few.groupBy("class_id").count().collect()}
     assert kept["c0"] <= 8 and kept["c1"] <= 2 * 2 * 7 + 4 and all(n < 240 for n in kept.values())
     assert few.where("school_id = 's2'").select("class_id", "group_id").distinct().count() == 8
+
+
+def test_item_totals_add_up_all_items(spark):
+    rng = random.Random(4)
+    links = [(f"c{i % 7}", f"s{i % 5}", "g", f"t{i}", rng.choice(["home", "search", "detail", "mypage"]), rng.uniform(-2, 9)) for i in range(60)]
+    links += [links[0], ("c1", None, None, "t0", "search", 1.0), ("c9", "none", "g", "t0", "search", 1.0), (None, "s1", "g", "t0", "search", 1.0)]
+    base = spark.createDataFrame(links, "class_id string, school_id string, group_id string, station_id string, placement string, base_score double")
+    events = [(f"e{i}", rng.choice(["s0", "s1", "s1", "s2", None]), i % 3 == 0, i % 4 == 0 or None, rng.choice([None, -1.0, 0.0, rng.random()]), rng.choice([[], None, ["search"], ["home", "detail"]]), i % 5 > 0) for i in range(80)]
+    events += events[:9]
+    schema = "id string, school_id string, is_open_day boolean, is_featured boolean, priority_weight double, placement_tags array<string>, is_active boolean"
+    visible = ranking.visible_events(spark.createDataFrame(events, schema))
+    every = ranking.expand_items(base, visible).groupBy("class_id", "content_kind")
+    want = {(r[0], r[1]): r for r in every.agg(F.count(F.lit(1)).alias("items"), F.max("score").alias("best"), F.sum("score").alias("total")).collect()}
+    totals = ranking.item_totals(base, visible)
+    got = {(r.class_id, r.content_kind): r for r in totals.collect()}
+    assert got.keys() == want.keys() and len(got) > 8
+    for key, r in want.items():
+        assert got[key].items == r["items"] and abs(got[key].best - r.best) < 1e-9 and abs(got[key].total - r.total) < 1e-6
+
+
+def test_item_totals_do_not_multiply_events(spark):
+    """100 links of a school with 3 000 events: 300 000 items, of which no plan has rows."""
+    base = spark.range(100).select(
+        F.concat(F.lit("c"), "id").alias("class_id"), F.lit("s").alias("school_id"), F.lit("g").alias("group_id"), F.lit("t").alias("station_id"), F.lit("search").alias("placement"), F.lit(1.0).alias("base_score")
+    )
+    visible = spark.range(3000).select(
+        F.lit("s").alias("school_id"), F.lit("search").alias("placement"), F.col("id").cast("string").alias("event_id"),
+        *[F.lit(None).cast("double").alias(n) for n in ("open_day_bonus", "featured_event_bonus", "event_priority_boost")],
+    )
+    totals = ranking.item_totals(base, visible)
+    assert totals.where("content_kind = 'event'").agg(F.sum("items")).first()[0] == 300_000
