@@ -131,3 +131,15 @@ def test_nested_cards_keep_their_titles():
     parser.feed('<article data-crawl-event><time datetime=1><div class="crawl-event-card"><h2>in</div><i data-placement-tag=home>x</i><h3>out</h3></article><h2>no')
     parser.close()
     assert [("".join(c["title"]), c["time"], c["tags"]) for c in parser.cards] == [("in", "1", ["home"]), ("in", None, [])]
+
+
+def test_pages_are_spread_before_the_walk(spark, tmp_path):
+    """The parts table is one small file; its pages are walked in as many tasks as a shuffle has."""
+    from types import SimpleNamespace
+
+    from wayside.plans import q_pages
+
+    parts = spark.range(40).select(F.col("id").alias("p_partkey"), F.concat(F.lit("n"), "id").alias("p_name"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part")
+    rows = q_pages.shaped_pages(SimpleNamespace(source=lambda name: spark.read.parquet(f"{tmp_path}/{name}")))
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and rows.count() == 40

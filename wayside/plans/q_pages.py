@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayside.operators import crawl_health, pages, quality
 from wayside.plans.registry import extra_tables, query
 from wayside.plans.testmap import as_of
+from wayside.session import spread
 
 _C = F.col
 
@@ -204,7 +205,8 @@ def shaped_pages(m):
         each = [F.when(k % n == 0, F.lit(absent)).otherwise(F.lit(present)) for n, (_, present, absent) in zip(_EVERY, pieces, strict=False)]
         body = F.when(k % 5 == i, F.concat(*each)).otherwise(body)
     page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), "p_name", F.lit("</title></head><body>"), body, F.lit("</body></html>"))
-    return m.source("part").select(
+    # the walk over a page's tags costs far more than its row weighs, and a small table is one file
+    return spread(m.source("part"), "p_partkey").select(
         k.alias("page_id"), F.element_at(F.array(*[F.lit(s) for s in shapes]), (k % 5 + 1).cast("int")).alias("expected_shape"), page.alias("html"),
         F.when(k % 2 == 0, F.lit("text/html")).alias("content_type"),
     )
