@@ -5,6 +5,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayside.plans import catalog  # noqa: F401
 from wayside.plans.registry import QUERIES, model_for
@@ -85,3 +86,17 @@ def test_scenarios_with_all_checks(spark):
     assert sum(r["scenarios"] for r in runs) == len(failed)
     assert sum(r["passed"] for r in runs) == sum(n == 0 for n in failed.values())
     assert sum(r["blocked"] for r in runs) == sum(n > 0 for n in failed.values()) and sum(r["blockers"] for r in runs) == sum(failed.values())
+
+
+def test_customers_meet_nations_unbroadcast(spark, tmp_path):
+    """The larger table streams past the nations, in many tasks, though its file may be smaller than the estimate for them."""
+    from wayside.plans.testmap import Model
+
+    nation = spark.range(2).select(F.col("id").alias("n_nationkey"), F.lit("N").alias("n_name"), F.lit(0).cast("long").alias("n_regionkey"))
+    region = spark.range(1).select(F.col("id").alias("r_regionkey"), F.lit("R").alias("r_name"))
+    customer = spark.range(100).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).alias("c_nationkey"), F.lit("M").alias("c_mktsegment"))
+    for name, rows in (("nation", nation), ("region", region), ("customer", customer)):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    m = Model(spark, str(tmp_path))
+    assert m.customers.count() == 100 and m.stations.count() == 100 and m.requests.count() == 100
+    assert m.customers.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
