@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayside.config import DEFAULT_CONFIG
-from wayside.functions.geo import add_direction
+from wayside.functions.geo import add_direction, ellipsoid_m, sphere_m
+from wayside.functions.text import truthy
 from wayside.operators import retrieval
 
 SIG = (
@@ -112,3 +113,30 @@ def test_retrieved_links_come_once(spark):
     outside = spark.createDataFrame([("g", "s0", "t0"), ("g", "s9", "t9"), ("h", "s9", "t9")], "sig string, school_id string, station_id string")
     got = sorted(map(tuple, retrieval.retrieved_links(retrieval.Candidates(lists, numbered, outside)).collect()))
     assert got == [("s0", "t0"), ("s1", "t1"), ("s2", "t2"), ("s9", "t9")]
+
+
+def targets(spark, n, seed=3):
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        s = r.randrange(14)
+        rows.append((f"r{i}", f"c{s}", r.choice(["A", "B", "none", None]), None if i % 9 == 8 else 35.0 + (s % 5) * 0.008, 139.0 + (s // 5) * 0.01, r.choice([2, 3, None])))
+    return spark.createDataFrame(rows, "request_id string, target_station_id string, target_line_name string, target_latitude double, target_longitude double, max_hops int")
+
+
+def ranked_pairs(pairs, limit, first, *columns):
+    order = W.partitionBy("request_id").orderBy(*first, *retrieval.CONTRACT)
+    rows = pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    return sorted(map(str, rows.select("request_id", *columns, "position").collect()))
+
+
+def test_station_candidates_give_what_a_cross_join_gives(spark):
+    enriched, asked = links(spark, 60).dropDuplicates(retrieval.CONTRACT).cache(), targets(spark, 40).cache()
+    c = F.col
+    pairs = add_direction(asked, "target_latitude", "target_longitude", "_a").crossJoin(add_direction(enriched, "latitude", "longitude", "_b"))
+    direct = c("station_id") == c("target_station_id")
+    near = (c("line_name") == c("target_line_name")) & (c("hop_distance") <= c("max_hops")) & (ellipsoid_m("_a", "_b") <= DEFAULT_CONFIG.neighbor_cap_meters)
+    pairs = pairs.where(truthy(direct) | truthy(near))
+    for limit in (3, 256):
+        got = retrieval.station_candidates(asked, enriched, replace(DEFAULT_CONFIG, retrieval_limit=limit))
+        want = ranked_pairs(pairs, limit, [(~direct).cast("int")], "school_id", "station_id")
+        assert sorted(map(str, got.select("request_id", "school_id", "station_id", "position").collect())) == want and len(want) > 40
