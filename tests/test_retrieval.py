@@ -140,3 +140,21 @@ def test_station_candidates_give_what_a_cross_join_gives(spark):
         got = retrieval.station_candidates(asked, enriched, replace(DEFAULT_CONFIG, retrieval_limit=limit))
         want = ranked_pairs(pairs, limit, [(~direct).cast("int")], "school_id", "station_id")
         assert sorted(map(str, got.select("request_id", "school_id", "station_id", "position").collect())) == want and len(want) > 40
+
+
+def test_projection_candidates_give_what_a_cross_join_gives(spark):
+    projection, asked = links(spark, 60).dropDuplicates(retrieval.CONTRACT).cache(), targets(spark, 40).cache()
+    c = F.col
+    direct = c("station_id") == c("target_station_id")
+    metres = sphere_m("target_latitude", "target_longitude", "latitude", "longitude")
+    # nothing is off a line that is unknown
+    nearby = (metres <= DEFAULT_CONFIG.neighbor_cap_meters) & c("target_line_name").isNotNull()
+    boost = F.when(direct, 3.0).when(c("line_name") == c("target_line_name"), 1.0).when(nearby, 0.5)
+    pairs = asked.crossJoin(projection).withColumn("boost", boost).where("boost IS NOT NULL")
+    for limit in (3, 256):
+        best = W.partitionBy("request_id").orderBy(c("boost").desc(), *retrieval.CONTRACT)
+        hits = pairs.withColumn("_hit", F.row_number().over(best)).where(c("_hit") <= limit)
+        got = retrieval.projection_candidates(asked, projection, replace(DEFAULT_CONFIG, retrieval_limit=limit))
+        want = ranked_pairs(hits, limit, [(~direct).cast("int")], "school_id", "station_id", "boost")
+        assert sorted(map(str, got.select("request_id", "school_id", "station_id", "boost", "position").collect())) == want
+    assert all(f"boost={x}" in str(want) for x in (0.5, 1.0, 3.0))
