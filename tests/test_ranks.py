@@ -67,3 +67,30 @@ def test_no_rows(spark):
     steps = ranks.bonus_steps(spark.createDataFrame([], VISIBLE))
     df = spark.createDataFrame([], "point string, school_id string, placement string, base double, score double, content_kind string, content_id string")
     assert ranks.events_before(df, steps, ["point"]).count() == 0
+
+
+def test_sums_are_those_of_the_points(spark, monkeypatch):
+    """Weighed numbers of events, added up where they are counted, with pages, ties beyond the listed ids and points that look alike."""
+    monkeypatch.setattr(ranks, "PAGE", 2)
+    monkeypatch.setattr(ranks, "FIRST_IDS", 1)
+    rng = random.Random(5)
+    base, events, _ = made(5, [None, 0.1, 0.2, 0.3])
+    rows = [(i, f"k{i % 4}", s, "search", x, rng.choice([None, 0.8, 1.0, 1.1]), rng.choice(["event", "school"]), rng.choice(events)[2], (rng.randint(-1, 1), rng.randint(0, 2))) for i, (_, s, _, _, _, x) in enumerate(base)]
+    rows += [(1000 + r[0], *r[1:]) for r in rows[:30]] + [(2000, "k9", "none", "search", 1.0, None, None, None, (1, 5))]
+    df = spark.createDataFrame(rows, "point long, by string, school_id string, placement string, base double, score double, content_kind string, content_id string, v struct<w:int,less:int>")
+    steps = ranks.bonus_steps(spark.createDataFrame(events, VISIBLE))
+    n = {r.point: r.n for r in ranks.events_before(df, steps, ["point"]).collect()}
+    want = {}
+    for r in rows:
+        if r[0] in n:
+            want[r[1]] = want.get(r[1], 0) + r[8][0] * n[r[0]] - r[8][1]
+    assert {r.by: r.v for r in ranks.sums_before(df, steps, ["by"], ["v"]).collect()} == want and any(want.values())
+
+
+def test_skips_are_summed_up_without_a_shuffle_of_points(spark):
+    """Links are dealt out by class once; no row of a class and school goes over a shuffle behind that."""
+    base, events, classes = made(1, [None, 0.2])
+    b, v = spark.createDataFrame(base, BASE), spark.createDataFrame(events, VISIBLE)
+    picks = ranking.pick_items(b, spark.createDataFrame(classes, "class_id string, placement string, limit int"), v).cache()
+    plan = ranking.diversity_summary(b, v, picks)._jdf.queryExecution().executedPlan().toString()
+    assert "school_id" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line) and "Exchange hashpartitioning(class_id" in plan
