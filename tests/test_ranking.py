@@ -245,3 +245,33 @@ def test_item_totals_do_not_multiply_events(spark):
     )
     totals = ranking.item_totals(base, visible)
     assert totals.where("content_kind = 'event'").agg(F.sum("items")).first()[0] == 300_000
+
+
+def test_link_scores_add_up_to_base_scores(spark):
+    """What ranking multiplies has keys and one score; the sums are, to the bit, those of all parts one by one."""
+    rng, stages = random.Random(9), ["same_line", "neighbor_area", "safe_global_popular"]
+    part = "sig string, school_id string, group_id string, station_id string, fallback_stage string, counts_as_same_line boolean, direct_station_bonus double, school_station_distance double, walking_minutes_score double, neighbor_station_proximity double, popularity_snapshot_bonus double, area_affinity_bonus double"
+    some = lambda: rng.choice([None, rng.random(), rng.random() / 3])
+    rows = [(f"g{i % 6}", f"s{i % 11}", "g", f"t{i}", stages[i % 3], None if i % 5 == 0 else i % 2 == 0 and i % 3 != 1, *[some() for _ in range(6)]) for i in range(90)]
+    selected = spark.createDataFrame(rows, part)
+    classes = spark.createDataFrame([(f"c{i}", f"g{i % 6}", ["home", "search"][i % 2], 3, False, rng.choice([None, "u1", "u2"])) for i in range(20)], "class_id string, sig string, placement string, limit int, debug boolean, user_id string")
+    affinity = spark.createDataFrame([(f"u{u}", f"s{s}", rng.random(), 3) for u in range(4) for s in range(0, 11, 2)], "user_id string, school_id string, affinity_score double, event_count long")
+    one = selected.withColumn("line_match_bonus", F.when(F.col("counts_as_same_line"), F.lit(RankingConfig().line_match_bonus)))
+    narrow = one.select("sig", "school_id", "group_id", "station_id", "fallback_stage", ranking._sum(ranking.BASE_PARTS[: ranking.LINK_PARTS]).alias("link_score"))
+    key = ["class_id", "school_id", "station_id", "base_score"]
+    want = ranking.request_components(selected.join(classes, "sig"), affinity).select(*key)
+    assert sorted(map(tuple, ranking.base_scores(narrow, classes, affinity).select(*key).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scored_links_are_narrow(spark, monkeypatch):
+    """Of the links of a stage nothing is kept but their keys and score."""
+    seen, own = [], ranking.base_scores
+
+    def kept(selected, *rest):
+        seen.extend(selected.columns)
+        return own(selected, *rest)
+
+    monkeypatch.setattr(ranking, "base_scores", kept)
+    schools, stations, links = small("s")
+    evaluation.run_scenarios(spark.createDataFrame([request("s")], SCEN), data(spark, schools, stations, links))
+    assert {n for n in seen if not n.startswith("in_")} == {"sig", "school_id", "group_id", "station_id", "link_score", "fallback_stage"}

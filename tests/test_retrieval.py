@@ -158,3 +158,19 @@ def test_projection_candidates_give_what_a_cross_join_gives(spark):
         want = ranked_pairs(hits, limit, [(~direct).cast("int")], "school_id", "station_id", "boost")
         assert sorted(map(str, got.select("request_id", "school_id", "station_id", "boost", "position").collect())) == want
     assert all(f"boost={x}" in str(want) for x in (0.5, 1.0, 3.0))
+
+
+def test_candidates_are_counted_and_named_from_their_lists(spark):
+    """Counts are those of the candidate rows, named links those of all rows, with links in two kinds and links beyond every flag."""
+    far = {n: F.lit(None).cast("string") for n in ("line_id", "ctx_line_name", "city_name", "prefecture_name")} | {"sig": F.lit("far"), "explicit": F.lit(False)}
+    far |= {n: F.array().cast("array<string>") for n in ("adjacent_lines", "adjacent_areas")}
+    enriched, sigs = links(spark, 60).cache(), signatures(spark, 40).unionByName(signatures(spark, 1).withColumns(far)).cache()
+    found = retrieval.candidate_lists(sigs, enriched)
+    rows = retrieval.candidate_rows(found).cache()
+    assert rows.where("sig = 'far' AND bucket = 6").count() > 0
+    assert {tuple(r) for r in retrieval.candidate_counts(found).collect()} == {tuple(r) for r in rows.groupBy("sig").count().collect()}
+    keys = rows.select("sig", "school_id", "station_id").distinct().where("hash(school_id, sig) % 3 = 0")
+    got = retrieval.named_links(found, sigs, keys)
+    want = retrieval.signature_links(found, sigs).join(keys, ["sig", "school_id", "station_id"], "left_semi")
+    assert set(got.columns) == set(want.columns) and want.count() > 100
+    assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
