@@ -174,3 +174,27 @@ def test_candidates_are_counted_and_named_from_their_lists(spark):
     want = retrieval.signature_links(found, sigs).join(keys, ["sig", "school_id", "station_id"], "left_semi")
     assert set(got.columns) == set(want.columns) and want.count() > 100
     assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
+
+
+def test_blocks_are_sent_their_links(spark):
+    """Rows are those of a plain join, and the multiplied ones are not shuffled, though no table is broadcast."""
+    from wayside.session import ALL_KEYS, settle
+
+    enriched, sigs = links(spark, 60).cache(), signatures(spark, 40).cache()
+    found = retrieval.candidate_lists(sigs, enriched)
+    places = settle(enriched.select("school_id", "station_id", "latitude").distinct().withColumn("latitude", F.hash("station_id", "latitude").cast("double")))
+    setting = {"spark.sql.autoBroadcastJoinThreshold": "-1", ALL_KEYS: "false"}
+    before = {n: spark.conf.get(n) for n in setting}
+    try:
+        for n, v in setting.items():
+            spark.conf.set(n, v)
+        got = retrieval.placed_links(found._replace(outside=found.outside.limit(0)), sigs, places)
+        rows = sorted(map(str, got.select(*sorted(got.columns)).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    want = retrieval.signature_links(found._replace(outside=found.outside.limit(0)), sigs).join(places, ["school_id", "station_id"])
+    assert rows == sorted(map(str, want.select(*sorted(got.columns)).collect())) and len(rows) > 100
+    whole = plan[plan.index("Generate explode(links") :]
+    assert "ShuffledHashJoin" in plan[: plan.index("Generate explode(links")] and "Exchange" not in plan[plan.index("ShuffledHashJoin") : plan.index("Generate explode(links")] and whole
