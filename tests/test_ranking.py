@@ -281,7 +281,10 @@ def test_traces_of_classes_are_those_of_requests(spark):
     """An answer is listed once per class and meets its requests last; the traces stay the same."""
     schools, stations, links = small("s")
     items, heads = evaluation.run_scenarios(spark.createDataFrame([request("s", limit=5)], SCEN), data(spark, schools, stations, links))
-    of = spark.createDataFrame([("r1", "s"), ("r2", "s"), ("r3", "none")], "request_id string, scenario_id string")
+    other = [df.unionByName(df.withColumns({"scenario_id": F.lit("s2"), "explanation": F.lit("other")})) for df in (items, heads)]
+    items, heads = (df.cache() for df in other)
+    rows = [("r1", "s"), ("r2", "s"), ("r3", "none"), ("r4", "s2"), ("twice", "s"), ("twice", "s"), ("both", "s"), ("both", "s2"), (None, "s")]
+    of = spark.createDataFrame(rows, "request_id string, scenario_id string").cache()
     none = F.lit(None).cast("string")
     asked = of.select("request_id", *[none.alias(n) for n in ("target_station_id", "user_id", "placement", "station_id", "line_id", "line_name", "country", "prefecture_code", "prefecture_name", "city_code", "city_name")], F.lit(3).alias("limit"), F.lit(False).alias("debug"))
     ctx = of.select("request_id", F.lit("default_safe_context").alias("context_source"), F.lit(0.5).alias("confidence"), F.array().cast(FIELDS["warnings"]).alias("warnings"), none.alias("ctx_station_id"))
@@ -290,5 +293,5 @@ def test_traces_of_classes_are_those_of_requests(spark):
     each = evaluation.build_traces(asked, ctx, of.join(items, "scenario_id").drop("scenario_id"), of.join(heads, "scenario_id").drop("scenario_id"), retrieved)
     classes = of.withColumnRenamed("scenario_id", "class_id")
     shared = evaluation.build_traces(asked, ctx, items.withColumnRenamed("scenario_id", "class_id"), heads.withColumnRenamed("scenario_id", "class_id"), retrieved, classes)
-    got, want = ({r.request_id: r.asDict() for r in df.select(*each.columns).collect()} for df in (shared, each))
-    assert got == want and set(got) == {"r1", "r2"}
+    got, want = (sorted(tuple(r) for r in df.select(*each.columns).collect()) for df in (shared, each))
+    assert got == want and {r[0] for r in got} == {"r1", "r2", "r4", "twice", "both"}
